@@ -73,9 +73,11 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     doc_id that can be reached, kept says that it is the row's own.
 
     * Rows with equal sets are one node from the start, so copies never meet as pairs.
-    * A bucket never emits its pairs. First each member meets two leaders of its bucket; then members outside the bucket's
-      main component meet ``LEADERS`` members of that component; only what is still apart meets all others of the bucket.
-      The last step makes the result whole: two members of a bucket that are linked end in one component.
+    * A bucket never emits its pairs. First each member meets two members of its bucket, one of them the member with the most
+      company; then members outside the bucket's main component meet ``LEADERS`` members of that component. Only what is
+      still apart meets the others of its buckets, where counts allow a link: with h of its n shingles held by any other
+      node at hand, a text shares at most h, so a pair with least(h1, h2) below similarity of the union it leaves is out.
+      This last step makes the result whole: two members of a bucket that are linked end in one component.
     * Null or wordless texts have an empty set, no link, and are kept. A row without doc_id takes the component of an equal
       set, or null where there is none, and is kept only in the latter case. Rows with one doc_id and several texts are
       grouped by each text. Other columns are not read.
@@ -90,8 +92,10 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     firsts = named.select("digest", "keys", F.struct("doc_id", "text_hash").alias("first")).join(nodes, ["digest", "first"], "left_semi").dropDuplicates(["digest"])
 
     entries = firsts.select("digest", "first", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").count().filter("count > 1").select("key")
-    buckets = written(entries.join(shared, "key").select("key", "digest", "first", F.xxhash64("digest").alias("order")), "buckets")
+    shared = entries.groupBy("key").count().filter("count > 1")
+    buckets = written(entries.join(shared, "key").select("key", "digest", "first", "count"), "buckets")
+    # How much company a node has in its buckets: the original of many edited copies has the most.
+    company = buckets.groupBy("digest").agg(F.sum("count").alias("company"), F.array_sort(F.collect_list("key")).alias("keys"))
 
     wanted = buckets.select("first.*").distinct()
     sets = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("text")
@@ -105,29 +109,38 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
         common = F.when(near, F.size(F.array_intersect("sa", "sb"))).otherwise(0)
         return both.filter(common * (100 + similarity) >= similarity * size).select("a", "b")
 
-    ends = buckets.groupBy("key").agg(F.min(F.struct("order", "digest")).alias("x"), F.max(F.struct("order", "digest")).alias("y"))
+    ranked = buckets.join(company.select("digest", "company"), "digest")
+    ends = ranked.groupBy("key").agg(F.max(F.struct("company", "digest")).alias("x"), F.min(F.struct(F.xxhash64("digest"), "digest")).alias("y"))
     met = buckets.join(ends, "key").select(F.col("digest").alias("a"), F.explode(F.array("x.digest", "y.digest")).alias("b"))
     links = written(linked(met), "verified")
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Labels of linked nodes, and the buckets that still hold several components, with each one's size there."""
         labels = written(components(links), "labels")
-        rows_ = buckets.join(labels, buckets.digest == labels.node, "left").select("key", "digest", "order", F.coalesce("label", "digest").alias("label"))
+        rows_ = buckets.join(labels, buckets.digest == labels.node, "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
         per = rows_.groupBy("key", "label").agg(F.count("*").alias("n"))
         main = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
         return labels, rows_.join(main.select("key", F.col("main.label").alias("main")), "key")
 
     labels, apart = labelled(links)
     apart = written(apart, "apart")
-    leaders = _sampled(labels, LEADERS)
+    leaders = _central(labels.join(company, labels.node == company.digest), LEADERS)
     outside = apart.filter("label != main").select("digest", "main").distinct()
     met = outside.join(leaders, outside.main == leaders.label).select(F.col("digest").alias("a"), F.explode("of").alias("b"))
     links = written(links.unionByName(linked(met)), "verified")
 
     labels, apart = labelled(links)
     apart = written(apart, "apart")
-    left, right = apart.filter("label != main").alias("l"), apart.alias("r")
-    met = left.join(right, F.expr("l.key = r.key and l.label != r.label")).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
+    held = sets.join(apart.select("digest").distinct(), "digest", "left_semi")
+    alone = held.select(F.xxhash64("digest").alias("owner"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
+    alone = alone.filter("n = 1").groupBy("owner").agg(F.count("*").alias("alone"))
+    able = held.select("digest", F.size("shingles").alias("n")).join(alone, F.xxhash64("digest") == F.col("owner"), "left")
+    able = able.select("digest", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") * 100 >= similarity * F.col("n"))
+    able = written(apart.join(able, "digest").join(company.select("digest", "keys"), "digest"), "able")
+    near = f"100 * least(l.held, r.held) >= {similarity} * (l.n + r.n - least(l.held, r.held))"
+    once = "array_min(array_intersect(l.keys, r.keys)) = l.key"
+    left, right = able.filter("label != main").alias("l"), able.alias("r")
+    met = left.join(right, F.expr(f"l.key = r.key and l.label != r.label and {near} and {once}")).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
     links = written(links.unionByName(linked(met)), "verified")
 
     labels = written(components(links), "labels")
@@ -140,10 +153,10 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
 
 
-def _sampled(labels: DataFrame, k: int) -> DataFrame:
-    """``label, of``: up to ``k`` members of each component, one from each of ``k`` hash slices."""
-    least = labels.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(k)).alias("slice")).agg(F.min("node").alias("node"))
-    return least.groupBy("label").agg(F.collect_list("node").alias("of"))
+def _central(members: DataFrame, k: int) -> DataFrame:
+    """``label, of``: up to ``k`` members of each component, the one with the most company from each of ``k`` slices by hash."""
+    most = members.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(k)).alias("slice")).agg(F.max(F.struct("company", "node")).alias("m"))
+    return most.groupBy("label").agg(F.collect_list("m.node").alias("of"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

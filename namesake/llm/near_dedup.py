@@ -20,6 +20,8 @@ BANDS, ROWS = 32, 4
 WIDTH, SIMILARITY = 5, 75
 #: Members of a component that each document of a shared bucket is held against before the exhaustive round.
 LEADERS = 16
+#: Blocks of hash values by which shingles are counted, to bound what two texts can share.
+BLOCKS = 128
 
 
 def _sets(width: int, texts: list[bytes]) -> Iterator[list[np.ndarray]]:
@@ -60,7 +62,9 @@ def _shingle_sets(width: int):
             for sets in _sets(width, B.as_bytes(batch.column("text"))):
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["digest", "shingles"])
+                blocks = [np.bincount((s & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS) for s in sets]
+                blocks = pa.array([b.astype(np.int16) if b.max() < 1 << 15 else None for b in blocks], pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat), blocks], ["digest", "shingles", "blocks"])
 
     return run
 
@@ -76,7 +80,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     * A bucket never emits its pairs. First each member meets two members of its bucket, one of them the member with the most
       company; then members outside the bucket's main component meet ``LEADERS`` members of that component. Only what is
       still apart meets the others of its buckets, where counts allow a link: with h of its n shingles held by any other
-      node at hand, a text shares at most h, so a pair with least(h1, h2) below similarity of the union it leaves is out.
+      node at hand, a text shares at most h; and two texts share no more of a block of hash values than either has there. A pair
+      whose bounds stay below similarity is out.
       This last step makes the result whole: two members of a bucket that are linked end in one component.
     * Null or wordless texts have an empty set, no link, and are kept. A row without doc_id takes the component of an equal
       set, or null where there is none, and is kept only in the latter case. Rows with one doc_id and several texts are
@@ -99,11 +104,13 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
 
     wanted = buckets.select("first.*").distinct()
     sets = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("text")
-    sets = written(sets.mapInArrow(_shingle_sets(width), "digest binary, shingles array<long>").dropDuplicates(["digest"]), "sets")
+    sets = written(sets.mapInArrow(_shingle_sets(width), "digest binary, shingles array<long>, blocks array<smallint>").dropDuplicates(["digest"]), "sets")
+
+    whole = sets.select("digest", "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        both = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
         size = F.size("sa") + F.size("sb")
         near = F.least(F.size("sa"), F.size("sb")) * 100 >= similarity * F.greatest(F.size("sa"), F.size("sb"))
         common = F.when(near, F.size(F.array_intersect("sa", "sb"))).otherwise(0)
@@ -134,13 +141,15 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     held = sets.join(apart.select("digest").distinct(), "digest", "left_semi")
     alone = held.select(F.xxhash64("digest").alias("owner"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
     alone = alone.filter("n = 1").groupBy("owner").agg(F.count("*").alias("alone"))
-    able = held.select("digest", F.size("shingles").alias("n")).join(alone, F.xxhash64("digest") == F.col("owner"), "left")
-    able = able.select("digest", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") * 100 >= similarity * F.col("n"))
+    able = held.select("digest", "blocks", F.size("shingles").alias("n")).join(alone, F.xxhash64("digest") == F.col("owner"), "left")
+    able = able.select("digest", "blocks", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held")).filter(F.col("held") * 100 >= similarity * F.col("n"))
     able = written(apart.join(able, "digest").join(company.select("digest", "keys"), "digest"), "able")
     near = f"100 * least(l.held, r.held) >= {similarity} * (l.n + r.n - least(l.held, r.held))"
     once = "array_min(array_intersect(l.keys, r.keys)) = l.key"
+    shared = "aggregate(zip_with(l.blocks, r.blocks, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    may = f"coalesce({shared} * {100 + similarity} >= {similarity} * (l.n + r.n), true)"
     left, right = able.filter("label != main").alias("l"), able.alias("r")
-    met = left.join(right, F.expr(f"l.key = r.key and l.label != r.label and {near} and {once}")).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
+    met = left.join(right, F.expr(f"l.key = r.key and l.label != r.label and {near} and {once} and {may}")).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
     links = written(links.unionByName(linked(met)), "verified")
 
     labels = written(components(links), "labels")

@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe
+from .chat_format import op2_chat_format
 from .fingerprints import op7_fingerprints
 from .language_id import op6_language_id
+from .license_scan import op4_license_scan
 from .near_dedup import op10_near_dedup
 from .quality import op5_quality
 from .suffix_dedup import op9_suffix_dedup
 from .token_records import op3_token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
     "op3_token_records": op3_token_records,
+    "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_fingerprints": op7_fingerprints,

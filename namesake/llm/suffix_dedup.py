@@ -16,6 +16,8 @@ from ._store import written
 DEPTH = 200
 #: Bytes that the first pass sorts by.
 GRAM = 48
+#: Steps by which the middle pass goes from a gram to full depth, on either side.
+STEPS = 4
 _NO_ID = -(1 << 63)
 
 
@@ -35,7 +37,7 @@ class _Chunk:
     """
 
     def __init__(self, texts: list[bytes], depth: int, gram: int, offset: int = 0, head: int = 0, tail: int | None = None):
-        self.depth, self.gram, self.offset = depth, gram, offset
+        self.depth, self.gram, self.offset, self.home = depth, gram, offset, (head, tail)
         self.buf, self.starts = B.joined(texts)
         n = len(self.buf)
         self.pre = B.prefix(self.buf, B.BYTE)
@@ -68,13 +70,36 @@ class _Chunk:
         around = B.mix(B.span_hash(self.pre, left, right) + (at - left).astype(np.uint64))
         return text, at - self.starts[text] + self.offset, B.span_hash(self.pre, at, at + self.gram), around
 
-    def chosen(self, places: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Text number, start and hash of the windows whose anchors are among ``places`` of their texts."""
-        wanted = np.zeros(len(self.buf), bool)
-        for start, end, p in zip(self.starts[:-1], self.starts[1:], places, strict=True):
-            p = p - self.offset
-            wanted[p[(p >= 0) & (p < end - start)] + start] = True
-        at = self.windows[wanted[self.anchor]]
+    def steps(self, places: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Text number, anchor, side and hash of what stands between each anchor of ``places`` and each step away from it.
+
+        Side k > 0 is the anchor's gram and k steps to the right, -k the gram and k steps to the left, inside the text.
+        """
+        head, tail = self.home
+        at = [p - self.offset for p in places]
+        at = [p[(p >= head) & (p < (end - start if tail is None else tail))] + start for start, end, p in zip(self.starts[:-1], self.starts[1:], at, strict=True)]
+        text = np.repeat(np.arange(len(at)), [len(p) for p in at])
+        at = np.concatenate(at)
+        step = -(-(self.depth - self.gram) // STEPS)
+        found = []
+        for k in range(1, STEPS + 1):
+            reach = min(k * step, self.depth - self.gram)
+            for side, left, right in ((k, at, at + self.gram + reach), (-k, at - reach, at + self.gram)):
+                ok = (left >= self.starts[text]) & (right < self.starts[text + 1])
+                same = B.mix(B.span_hash(self.pre, left[ok], right[ok]) + np.uint64(side + 1000))
+                found.append((text[ok], at[ok] - self.starts[text[ok]] + self.offset, np.full(int(ok.sum()), side), same))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def chosen(self, limits: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Text number, start and hash of the windows that begin between ``low`` and ``high`` bytes before an anchor of
+        ``limits``, each (place << 16 | low << 8 | high)."""
+        low, high = np.ones(len(self.buf), np.int16), np.zeros(len(self.buf), np.int16)
+        for start, end, codes in zip(self.starts[:-1], self.starts[1:], limits, strict=True):
+            p = (codes >> 16) - self.offset
+            ok = (p >= 0) & (p < end - start)
+            low[p[ok] + start], high[p[ok] + start] = codes[ok] >> 8 & 255, codes[ok] & 255
+        before = self.anchor - self.windows
+        at = self.windows[(before >= low[self.anchor]) & (before <= high[self.anchor])]
         text = np.searchsorted(self.starts, at, side="right") - 1
         return text, at - self.starts[text] + self.offset, B.span_hash(self.pre, at, at + self.depth)
 
@@ -127,15 +152,34 @@ def _first_pass(depth: int, gram: int):
     return run
 
 
+def _lists(column) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
+
+def _middle_pass(depth: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
+            places, parts = _lists(batch.column("places")), []
+            for i, j, chunk in _pieces(B.as_bytes(batch.column("text")), depth, gram):
+                text, place, side, same = chunk.steps(places[i:j])
+                parts.append((doc[i + text], text_hash[i + text], place, side.astype(np.int8), same))
+            if not parts:
+                continue
+            d, h, place, side, same = map(np.concatenate, zip(*parts, strict=True))
+            known, to = _spread(same, same, B.mix(h.view(np.uint64) + place.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(place), pa.array(side), pa.array(to.view(np.int64)), pa.array(known)], ["doc", "text_hash", "place", "side", "same", "known"])
+
+    return run
+
+
 def _last_pass(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = B.as_bytes(batch.column("text"))
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
-            places = batch.column("places")
-            parts = []
-            for i, j, chunk in _pieces(texts, depth, gram):
-                text, start, same = chunk.chosen([places[k].values.to_numpy() for k in range(i, j)])
+            limits, parts = _lists(batch.column("limits")), []
+            for i, j, chunk in _pieces(B.as_bytes(batch.column("text")), depth, gram):
+                text, start, same = chunk.chosen(limits[i:j])
                 parts.append((doc[i + text], text_hash[i + text], start, same))
             if not parts:
                 continue
@@ -189,16 +233,17 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     1. The suffixes of a text are held by anchors, about one in 75 bytes. Anchors are grouped by ``gram`` bytes, then by
        all bytes that their windows can hold. Equals at that depth are repeats at once; only one of them goes on, and only
        if the gram also stands elsewhere between other bytes.
-    2. Suffixes of what goes on are grouped by all ``depth`` bytes; groups of two or more are the repeated windows.
+    2. What goes on is grouped by the gram and one to four steps to the right, and to the left. A window around an anchor
+       can only be a repeat as far as both sides are.
+    3. The suffixes that are left are grouped by all ``depth`` bytes; groups of two or more are the repeated windows.
 
     Strings are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    doc = F.coalesce("doc_id", F.lit(_NO_ID))
-    source = docs.select(doc.alias("doc"), F.xxhash64("text").alias("text_hash"), "doc_id", "text", *carry)
-    keyed = source.select("doc", "text_hash", "text")
+    if depth > 255 or not 0 < gram < depth:
+        raise ValueError("depth is at most 255 bytes, and a gram shorter")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
 
-    anchors = keyed.mapInArrow(_first_pass(depth, gram), "doc long, text_hash long, place long, group long, around long, known boolean")
+    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(_first_pass(depth, gram), "doc long, text_hash long, place long, group long, around long, known boolean")
     ordered, whole = Window.partitionBy("group").orderBy("around"), Window.partitionBy("group")
     before, after = F.lag("around").over(ordered), F.lead("around").over(ordered)
     several = F.min("around").over(whole) != F.max("around").over(whole)
@@ -207,14 +252,26 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     marks = written(anchors.select("doc", "text_hash", "place", again.alias("again"), (several & first).alias("on")).filter("again or on"), "anchors")
 
     on = marks.filter("on").groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"))
-    going = keyed.join(on, ["doc", "text_hash"])
-    starts = going.mapInArrow(_last_pass(depth, gram), "doc long, text_hash long, start long, same long, known boolean")
+    # The three joins below share one shuffle of the texts.
+    going = keyed.join(on, ["doc", "text_hash"]).select("doc", "text_hash", "text", "places")
+    steps = going.mapInArrow(_middle_pass(depth, gram), "doc long, text_hash long, place long, side byte, same long, known boolean")
     twice = F.col("known") | (F.count("*").over(Window.partitionBy("same")) > 1)
+    sides = steps.select("doc", "text_hash", "place", "side", twice.alias("twice")).filter("twice").groupBy("doc", "text_hash", "place")
+    sides = sides.agg(F.greatest(F.max("side"), F.lit(0)).cast("int").alias("right"), F.greatest(F.max(-F.col("side")), F.lit(0)).cast("int").alias("left"))
+    span = depth - gram
+    step = -(-span // STEPS)
+    # A side that repeats for k steps, and not for k + 1, ends within the step after k.
+    high = F.least((F.col("left") + 1) * step - 1, F.lit(span))
+    low = F.greatest(F.lit(span) - ((F.col("right") + 1) * step - 1), F.lit(0))
+    limits = sides.select("doc", "text_hash", "place", low.alias("low"), high.alias("high")).filter("low <= high")
+    limits = limits.groupBy("doc", "text_hash").agg(F.collect_list(F.expr("place * 65536 + low * 256 + high")).alias("limits"))
+    going = keyed.join(limits, ["doc", "text_hash"]).select("doc", "text_hash", "text", "limits")
+    starts = going.mapInArrow(_last_pass(depth, gram), "doc long, text_hash long, start long, same long, known boolean")
     repeats = starts.select("doc", "text_hash", "start", twice.alias("twice")).filter("twice")
 
     codes = marks.filter("again").select("doc", "text_hash", (F.col("place") * 2 + 1).alias("code")).unionByName(repeats.select("doc", "text_hash", (F.col("start") * 2).alias("code")))
     spans = codes.groupBy("doc", "text_hash").agg(F.collect_list("code").alias("spans"))
-    found = source.join(spans, ["doc", "text_hash"], "left").select("doc_id", *carry, "text", "spans")
+    found = keyed.join(spans, ["doc", "text_hash"], "left").select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), *carry, "text", "spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in ("text", "spans")]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
     return found.mapInArrow(_cut(depth, gram, with_text), schema)

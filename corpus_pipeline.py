@@ -1,8 +1,63 @@
-"""The corpus pipeline: stages that each call an operator of namesake.llm."""
+"""The corpus pipeline: stages that each call an operator of namesake.llm on what the stage before kept."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from namesake.llm import bpe, language_id, mixing, near_dedup, suffix_dedup
+from namesake.llm._store import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, which becomes their lang; what is undetermined goes."""
+    docs = docs.select(*COLUMNS)
+    found = language_id.identify(docs, language_id.learn(docs), carry=COLUMNS)
+    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of least doc_id."""
+    docs = docs.select(*COLUMNS)
+    gone = near_dedup.near_duplicates(docs, with_hash=True).filter("not kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_hash").distinct()
+    same = (F.coalesce(docs.doc_id, F.lit(0)) == gone.id) & (docs.doc_id.isNull() == gone.none) & (F.xxhash64(docs.text) == gone.text_hash)
+    return docs.join(gone, same, "left_anti")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that also stand elsewhere."""
+    cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents whose tokens are mixed to the target weights."""
+    return mixing.mixed(docs.select(*COLUMNS), with_text=True).filter("sampled").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL has no byte n-gram filters, MinHash components or BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

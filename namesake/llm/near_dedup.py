@@ -69,7 +69,7 @@ def _shingle_sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, with_hash: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     A text's set holds its distinct ``width``-word shingles (ASCII letters in lower case; a shorter text is one shingle).
@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
       whose bounds stay below similarity is out.
       This last step makes the result whole: two members of a bucket that are linked end in one component.
     * Null or wordless texts have an empty set, no link, and are kept. A row without doc_id takes the component of an equal
-      set, or null where there is none, and is kept only in the latter case. Rows with one doc_id and several texts are
+      set, or null where there is none, and is kept only in the latter case. ``with_hash`` adds text_hash, which with doc_id names the row. Rows with one doc_id and several texts are
       grouped by each text. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     least = linked_nodes.groupBy("label").agg(F.min("root").alias("least"))
     moved = linked_nodes.join(least, "label").select("digest", "least")
     classes = nodes.join(moved, "digest", "left").select("digest", F.coalesce("least", "first.doc_id").alias("component"))
-    found = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
+    found = signed.select("doc_id", "n_shingles", "digest", *["text_hash"] * with_hash).join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), *["text_hash"] * with_hash)
 
 
 def _central(members: DataFrame, k: int) -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format, mixing
 from .bpe import op8_bpe
-from .chat_format import op2_chat_format
 from .fingerprints import op7_fingerprints
 from .language_id import op6_language_id
 from .license_scan import op4_license_scan
@@ -17,7 +17,8 @@ from .suffix_dedup import op9_suffix_dedup
 from .token_records import op3_token_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_chat_format": op2_chat_format,
+    "op1_mixing": mixing.op1_mixing,
+    "op2_chat_format": chat_format.op2_chat_format,
     "op3_token_records": op3_token_records,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
@@ -28,4 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_chat_format": chat_format.ORACLE,
+}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +72,8 @@ def stem(word: str) -> str:
     return "y" + w[1:] if first_y else w
 
 
-@F.pandas_udf("string")
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
-
-
 def stemmed(words: DataFrame, column: str = "word") -> DataFrame:
     """``words`` with ``stem``. Each distinct word is stemmed once and joined back."""
-    table = words.select(column).distinct().withColumn("stem", _stems(F.col(column)))
+    stems = F.pandas_udf(lambda batch: batch.map(stem, na_action="ignore"), "string")
+    table = words.select(column).distinct().withColumn("stem", stems(F.col(column)))
     return words.join(table, column)

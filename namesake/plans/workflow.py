@@ -14,7 +14,7 @@ from ..operators.scoring import THRESHOLD, decided, logistic
 
 #: Coefficients of a plain pair score, for runs without a trained model.
 PLAIN = {"eq_fn_initial": 1.5, "eq_mn_initial": 0.8, "eq_lda_topic": 0.5, "diff_year": -0.05, "dist_keywords": -1.0, "dist_refs": -1.5, "dist_subject": -1.0, "dist_title": -1.2, "dist_coauthor": -2.0, "dist_ethnicity": -0.5}
-PLAIN_INTERCEPT = 2.0
+PLAIN_INTERCEPT = 4.5
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(hashes, F.expr(f"case when size({words}) < {WIDTH} then array(xxhash64({words})) else sort_array(transform(sequence(1, size({words}) - {WIDTH - 1}), i -> xxhash64(slice({words}, i, {WIDTH})))) end")).drop(words)
     df = df.withColumn(least, F.expr(f"filter({hashes}, (x, i) -> i = 0 or shiftright(x, 56) <> shiftright({hashes}[i - 1], 56))")).drop(hashes)
     gap = f"{_bin('x')} - if(k = 0, -1, {_bin(f'{least}[k - 1]')}) - 1"
-    value = f"cast(x & {(1 << BITS) - 1} as int)"
-    tail = f"array_repeat(cast(null as int), {BINS - 1} - {_bin(f'element_at({least}, -1)')})"
-    df = df.withColumn(filled, F.expr(f"concat(flatten(transform({least}, (x, k) -> concat(array_repeat(cast(null as int), {gap}), array({value})))), {tail})"))
+    value = f"cast(x & {(1 << BITS) - 1} as tinyint)"
+    tail = f"array_repeat(cast(null as tinyint), {BINS - 1} - {_bin(f'element_at({least}, -1)')})"
+    df = df.withColumn(filled, F.expr(f"concat(flatten(transform({least}, (x, k) -> concat(array_repeat(cast(null as tinyint), {gap}), array({value})))), {tail})"))
     draws = ", ".join(f"{filled}[cast(pmod(xxhash64(i, {d}), {BINS}) as int)]" for d in range(DRAWS))
     search = f"array_min(transform({least}, x -> struct(xxhash64(i, {_bin('x')}) as o, {value} as v))).v"
     return df.withColumn(out, F.expr(f"transform({filled}, (b, i) -> coalesce(b, {draws}, {search}))")).drop(least, filled)
@@ -55,11 +57,12 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(estimate)
 
 
-def with_next(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """``df`` with struct ``next`` of ``columns`` of the following row by ``order`` (the first row's after the last).
+def with_next(df: DataFrame, order: list[str], columns: list[str], prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prepare(df)`` with struct ``next`` of ``columns`` of the following row by ``order`` (the first row's after the last).
 
     Rows go once to a range of ``order[0]`` and are walked within it; the first row of each range, one row a range,
-    is joined to the last row of the range before. Ranges come from approximate quantiles, two levels of at
+    is prepared by itself and joined to the last row of the range before. Its key is broadcast to find it: as many keys as there are
+    shuffle partitions, at most. Ranges come from approximate quantiles, two levels of at
     most a hundred, so no task holds more than its share. Nulls come first, ties follow the rest of ``order``.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -79,11 +82,11 @@ def with_next(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
     first = keys.groupBy("_part").agg(F.min("_key").alias("_key"))
     every = Window.orderBy("_part")  # one row for each range
     wrapped = first.select(F.lag("_part").over(every).alias("_before"), "_part", F.max("_part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"), "_key")
-    heads = wrapped.select(F.coalesce("_before", "_end").alias("_to"), F.col("_part").alias("_of"), F.col("_key"))
-    head_rows = dealt.join(heads, (dealt["_part"] == heads["_of"]) & F.struct(*(dealt[c] for c in order)).eqNullSafe(heads["_key"]), "inner")
-    head_rows = head_rows.select("_to", F.struct(*columns).alias("_head")).dropDuplicates(["_to"])
+    heads = wrapped.select(F.coalesce("_before", "_end").alias("_to"), F.col("_key"))
+    found = dealt.join(F.broadcast(heads), F.struct(*(dealt[c] for c in order)).eqNullSafe(heads["_key"])).dropDuplicates(["_to"])
+    head_rows = prepare(found).select("_to", F.struct(*columns).alias("_head"))
     walk = Window.partitionBy("_part").orderBy(*order)
-    walked = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(walk))
+    walked = prepare(dealt).withColumn("_next", F.lead(F.struct(*columns)).over(walk))
     joined = walked.join(head_rows, walked["_part"] == head_rows["_to"], "left")
     return joined.withColumn("next", F.coalesce("_next", "_head")).drop("_part", "_next", "_to", "_head")
 
@@ -97,8 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null is the empty text; a text without words has an empty fingerprint. Other columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    marked = with_fingerprint(source, "text", "own")
-    paired = with_next(marked, ["doc_id", "tie"], ["text", "own"])
+    paired = with_next(source, ["doc_id", "tie"], ["text", "own"], lambda df: with_fingerprint(df, "text", "own"))
     n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(next.text, 1, cast(char_length(text) div 2 as int))"))
     both = with_fingerprint(paired.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("following"), edited.alias("edited")), "edited", "other")

@@ -16,6 +16,8 @@ from . import _bytes as B
 UNDETERMINED = "und"
 #: Bounds of what is learned: about so many documents of each language (by hash of doc_id), and n-grams kept of each.
 SAMPLE_DOCS, GRAMS, MAX_GRAMS = 4000, 20_000, 2_000_000
+#: Languages up to which their counts are broadcast to the documents.
+BROADCAST_LANGUAGES = 10_000
 GRAM, HASHES, BITS_PER_GRAM = 4, 3, 24
 
 _U = np.uint64
@@ -104,12 +106,15 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS
     """
     labelled = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null and doc_id is not null").filter(~_held_out("doc_id"))
     counts = labelled.groupBy("lang").count()
+    n_languages = counts.count()
+    if n_languages <= BROADCAST_LANGUAGES:  # else joining would shuffle all texts by a few languages
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(counts, "lang").filter(draw * F.col("count") < sample_docs).select("text", "lang")
     counted = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= grams)
-    limit = max(1, MAX_GRAMS // max(1, counts.count()))
+    limit = max(1, MAX_GRAMS // max(1, n_languages))
     table = top.filter(F.col("rank") <= limit).select("lang", "gram").toArrow()
     names = np.array(table["lang"].to_pylist(), object)
     codes = table["gram"].to_numpy()

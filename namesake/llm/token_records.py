@@ -89,12 +89,7 @@ def read_shard(path: str, index_path: str, order: Iterable[int] | None = None) -
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> PieceTable:
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_padding()
-    library.no_truncation()
-    return PieceTable(path, lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(pieces, add_special_tokens=False)])
+    return PieceTable(path)
 
 
 def _write(tokenizer: str, folder: str, end_id: int):

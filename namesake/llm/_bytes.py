@@ -6,11 +6,15 @@ batch has. All hashes are 64-bit and depend on content alone, so any task comput
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -62,18 +66,51 @@ def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((pre[end] - pre[start]) * inverse[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts with at most ``limit`` bytes in all; a longer text is a run of its own."""
+class Texts:
+    """An Arrow string column as bytes, null as empty, made into Python objects a slice at a time."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
+        self.lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def __getitem__(self, part: slice) -> list[bytes]:
+        kind = pa.large_binary() if pa.types.is_large_string(self.column.type) else pa.binary()
+        return [x or b"" for x in self.column[part].cast(kind).to_pylist()]
+
+
+def chunks(texts: Texts | list[bytes], limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts with at most ``limit`` bytes in all (``CHUNK`` if none is given); a longer text is a run of its own."""
+    limit = CHUNK if limit is None else limit
+    lengths = texts.lengths if isinstance(texts, Texts) else map(len, texts)
     i = size = 0
-    for j, t in enumerate(texts):
-        if j > i and size + len(t) > limit:
+    for j, n in enumerate(lengths):
+        if j > i and size + n > limit:
             yield i, j
             i, size = j, 0
-        size += len(t) + 1
+        size += n + 1
     if i < len(texts):
         yield i, len(texts)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and then freed memory goes back to the system: an idle worker stays beside those of later steps."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Texts one after the other, each followed by a line feed, and where each begins (one more at the end)."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -132,11 +169,3 @@ def shingles_of(h: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, _U))
     return out
-
-
-def as_bytes(column) -> list[bytes]:
-    """Values of an Arrow string or binary column as bytes; null as empty."""
-    import pyarrow as pa
-
-    binary = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [x or b"" for x in column.cast(binary).to_pylist()]

@@ -7,8 +7,11 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import regex
 
+from ._bytes import Texts, chunks
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The split pattern of byte-level tokenizers of this kind: a fixed value of their format.
@@ -43,8 +46,8 @@ _SPLIT = _usual_split()
 #: Pieces of a blank and letters: side by side they are split again at the blanks.
 _JOINABLE = re.compile(f" [{_ranges(r'\p{L}')}]+")
 #: Pieces whose codes a worker keeps between texts; others are encoded anew in each group of texts.
-KEPT = 300_000
-GROUP = 4 << 20
+KEPT = 200_000
+GROUP = 2 << 20
 
 
 class PieceTable:
@@ -98,19 +101,17 @@ class PieceTable:
             found[piece] = np.array(made.ids, "<u4").tobytes()
         return [found[p] for p in pieces]
 
-    def encoded(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
-                size += len(texts[end])
-                end += 1
-            split = [self.pieces(t) for t in texts[at:end]]
+    def encoded(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """For runs of texts of an Arrow column (null: empty), where each begins and the ids of its texts, as bytes."""
+        texts = Texts(column)
+        for i, j in chunks(texts, GROUP):
+            split = [self.pieces(t.decode()) for t in texts[i:j]]
             new = list(set().union(*split) - self.codes.keys())
             self.codes.update(zip(new, self.encode(new), strict=True))
-            for pieces in split:
-                yield b"".join(map(self.codes.__getitem__, pieces))
+            made = []
+            while split:  # from the end, so that pieces go as they are used
+                made.append(b"".join(map(self.codes.__getitem__, split.pop())))
+            made.reverse()
             for piece in new[max(0, KEPT - (len(self.codes) - len(new))) :]:
                 del self.codes[piece]
-            at = end
+            yield i, made

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._bytes import lean
 from ._pretokens import PieceTable
 
 
@@ -48,7 +49,7 @@ class TrieEncoder:
         self.halves = [(b, b) for b in range(256)] + [(self.rank[raw(a)], self.rank[raw(b)]) for a, b in merges]
         self.merged = {h: 256 + i for i, h in enumerate(self.halves[256:])}
         self.longest = max(map(len, self.tokens))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.text_of = {by_letters[t]: t for t in self.tokens} | {t["id"]: t["content"].encode() for t in model["added_tokens"]}
 
@@ -95,11 +96,11 @@ class TrieEncoder:
                         if begin == 0 and self._whole(token):
                             break
                         continue
-                    fits = apart.get((before, token))
+                    fits = apart.get(before << 32 | token)
                     if fits is None:
-                        if len(apart) > 2_000_000:
+                        if len(apart) > 300_000:
                             apart.clear()
-                        fits = apart[before, token] = self.stays_apart(before, token)
+                        fits = apart[before << 32 | token] = self.stays_apart(before, token)
                     if fits:
                         break
                 state.append(token)
@@ -140,19 +141,19 @@ def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = _loaded(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            n, ids_hash, text_hash, kept = [], [], [], []
-            for code in table.encoded(texts):
-                ids = np.frombuffer(code, "<u4")
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(code).hexdigest())
-                text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+            for i, codes in table.encoded(batch.column("text")):
+                n, ids_hash, text_hash, kept = [], [], [], []
+                for code in codes:
+                    ids = np.frombuffer(code, "<u4")
+                    n.append(len(ids))
+                    ids_hash.append(hashlib.sha256(code).hexdigest())
+                    text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(ids.view(np.int32))
+                columns = {"doc_id": batch.column("doc_id").slice(i, len(codes)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
                 if with_ids:
-                    kept.append(ids.astype(np.int32))
-            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-            if with_ids:
-                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                    columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -165,7 +166,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, with_ids: bool = False)
     text, with no ids. Rows are independent: repeated rows, null doc_ids and other columns make no difference.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(tokenizer, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_digests(tokenizer, with_ids)), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

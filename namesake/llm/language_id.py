@@ -89,11 +89,11 @@ def _held_out(doc_id):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, langs = B.as_bytes(batch.column("text")), np.array(batch.column("lang").to_pylist(), object)
-        for name in sorted(set(langs)):
-            own = [texts[i] for i in np.flatnonzero(langs == name)]
-            for i, j in B.chunks(own):
-                code, n = np.unique(_grams(own[i:j])[0], return_counts=True)
+        texts, langs = B.Texts(batch.column("text")), np.array(batch.column("lang").to_pylist(), object)
+        for i, j in B.chunks(texts):
+            own = texts[i:j]
+            for name in sorted(set(langs[i:j])):
+                code, n = np.unique(_grams([own[k] for k in np.flatnonzero(langs[i:j] == name)])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS
         counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(counts, "lang").filter(draw * F.col("count") < sample_docs).select("text", "lang")
-    counted = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(B.lean(_counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= grams)
     limit = max(1, MAX_GRAMS // max(1, n_languages))
@@ -125,16 +125,17 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
         for batch in batches:
-            texts, said, score = B.as_bytes(batch.column("text")), [], []
+            texts = B.Texts(batch.column("text"))
             for i, j in B.chunks(texts):
-                cover = filters.coverage(texts[i:j]) if filters.languages else np.zeros((j - i, 1))
+                said, score, own = [], [], texts[i:j]
+                cover = filters.coverage(own) if filters.languages else np.zeros((j - i, 1))
                 best = cover.argmax(axis=1)
-                for k, text in enumerate(texts[i:j]):
+                for k, text in enumerate(own):
                     known = filters.languages and _LETTER.search(text.decode("utf-8", "replace"))
                     said.append(filters.languages[best[k]] if known else UNDETERMINED)
                     score.append(float(cover[k, best[k]]) if known else 0.0)
-            names = [c for c in batch.schema.names if not c.startswith("lang_pred") and c not in ("score",)]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(said, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     return run
 
@@ -148,7 +149,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, carry: tuple[str, ...] =
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     chosen = docs.select(*dict.fromkeys([*carry, "text"]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema), "lang_pred string, score double"])
-    return chosen.mapInArrow(_predict(shared), schema)
+    return chosen.mapInArrow(B.lean(_predict(shared)), schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ LEADERS = 16
 BLOCKS = 128
 
 
-def _sets(width: int, texts: list[bytes]) -> Iterator[list[np.ndarray]]:
+def _sets(width: int, texts: B.Texts) -> Iterator[list[np.ndarray]]:
     for i, j in B.chunks(texts):
         yield B.shingles_of(*B.words_of(texts[i:j], lower=True), width)
 
@@ -38,7 +38,7 @@ def _sign(width: int, bands: int, rows: int):
         salt = B.mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             n, digests, keys = [], [], []
-            for sets in _sets(width, B.as_bytes(batch.column("text"))):
+            for sets in _sets(width, B.Texts(batch.column("text"))):
                 values = packed(signatures(sets, bands * rows)).astype(np.uint64).reshape(len(sets), bands, rows)
                 key = salt
                 for r in range(rows):
@@ -59,7 +59,7 @@ def _sign(width: int, bands: int, rows: int):
 def _shingle_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets in _sets(width, B.as_bytes(batch.column("text"))):
+            for sets in _sets(width, B.Texts(batch.column("text"))):
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 blocks = [np.bincount((s & np.uint64(BLOCKS - 1)).astype(np.int64), minlength=BLOCKS) for s in sets]
@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     spark = docs.sparkSession
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = written(
-        source.mapInArrow(_sign(width, bands, rows), "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>"), "signatures"
+        source.mapInArrow(B.lean(_sign(width, bands, rows)), "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>"), "signatures"
     )
     named = signed.filter("digest is not null and doc_id is not null")
     nodes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
@@ -104,7 +104,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
 
     wanted = buckets.select("first.*").distinct()
     sets = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("text")
-    sets = written(sets.mapInArrow(_shingle_sets(width), "digest binary, shingles array<long>, blocks array<smallint>").dropDuplicates(["digest"]), "sets")
+    sets = written(sets.mapInArrow(B.lean(_shingle_sets(width)), "digest binary, shingles array<long>, blocks array<smallint>").dropDuplicates(["digest"]), "sets")
 
     whole = sets.select("digest", "shingles")
 

@@ -74,7 +74,7 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 def _measure(carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = B.as_bytes(batch.column("text"))
+            texts = B.Texts(batch.column("text"))
             for i, j in B.chunks(texts):
                 counts = text_counts(texts[i:j])
                 own = [batch.column(k).slice(i, j - i) for k in range(carry)]
@@ -86,7 +86,7 @@ def _measure(carry: int):
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row of ``docs``."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return chosen.mapInArrow(_measure(3), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return chosen.mapInArrow(B.lean(_measure(3)), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 _FEATURES = {

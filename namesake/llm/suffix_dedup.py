@@ -104,15 +104,16 @@ class _Chunk:
         return text, at - self.starts[text] + self.offset, B.span_hash(self.pre, at, at + self.depth)
 
 
-def _pieces(texts: list[bytes], depth: int, gram: int) -> Iterator[tuple[int, int, _Chunk]]:
+def _pieces(texts: B.Texts | list[bytes], depth: int, gram: int) -> Iterator[tuple[int, int, _Chunk]]:
     """Chunks with the run [i, j) of texts that each holds; a long text comes in overlapping pieces."""
     for i, j in B.chunks(texts):
-        if j - i == 1 and len(texts[i]) > 2 * B.CHUNK:
-            for a in range(0, len(texts[i]), B.CHUNK):
+        own = texts[i:j]
+        if j - i == 1 and len(own[0]) > 2 * B.CHUNK:
+            for a in range(0, len(own[0]), B.CHUNK):
                 begin = max(0, a - depth)
-                yield i, j, _Chunk([texts[i][begin : a + B.CHUNK + 2 * depth]], depth, gram, begin, a - begin, a - begin + B.CHUNK)
+                yield i, j, _Chunk([own[0][begin : a + B.CHUNK + 2 * depth]], depth, gram, begin, a - begin, a - begin + B.CHUNK)
         else:
-            yield i, j, _Chunk(texts[i:j], depth, gram)
+            yield i, j, _Chunk(own, depth, gram)
 
 
 def _spread(group: np.ndarray, same: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,7 @@ def _spread(group: np.ndarray, same: np.ndarray, salt: np.ndarray) -> tuple[np.n
 def _first_pass(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = B.as_bytes(batch.column("text"))
+            texts = B.Texts(batch.column("text"))
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
             parts, last = [], (-1, np.zeros(0, np.int64))
             for i, _, chunk in _pieces(texts, depth, gram):
@@ -161,7 +162,7 @@ def _middle_pass(depth: int, gram: int):
         for batch in batches:
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
             places, parts = _lists(batch.column("places")), []
-            for i, j, chunk in _pieces(B.as_bytes(batch.column("text")), depth, gram):
+            for i, j, chunk in _pieces(B.Texts(batch.column("text")), depth, gram):
                 text, place, side, same = chunk.steps(places[i:j])
                 parts.append((doc[i + text], text_hash[i + text], place, side.astype(np.int8), same))
             if not parts:
@@ -178,7 +179,7 @@ def _last_pass(depth: int, gram: int):
         for batch in batches:
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
             limits, parts = _lists(batch.column("limits")), []
-            for i, j, chunk in _pieces(B.as_bytes(batch.column("text")), depth, gram):
+            for i, j, chunk in _pieces(B.Texts(batch.column("text")), depth, gram):
                 text, start, same = chunk.chosen(limits[i:j])
                 parts.append((doc[i + text], text_hash[i + text], start, same))
             if not parts:
@@ -190,32 +191,39 @@ def _last_pass(depth: int, gram: int):
     return run
 
 
+def _merged(code: np.ndarray, n: int, depth: int, gram: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the removed runs of a text of n bytes: codes are places of anchors (odd) and of windows (even)."""
+    if not len(code):
+        return [], []
+    at = code >> 1
+    left = np.where(code & 1, np.maximum(at - (depth - gram), 0), at)
+    right = np.minimum(at + depth, n)
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], np.maximum.accumulate(right[order])
+    first = np.flatnonzero(np.concatenate(([True], left[1:] > right[:-1])))
+    return left[first].tolist(), right[np.concatenate((first[1:] - 1, [-1]))].tolist()
+
+
 def _cut(depth: int, gram: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
-            spans = batch.column("spans")
-            for k, text in enumerate(B.as_bytes(batch.column("text"))):
-                code = spans[k].values.to_numpy() if spans[k].is_valid else np.zeros(0, np.int64)
-                at, anchor = code >> 1, (code & 1).astype(bool)
-                left = np.where(anchor, np.maximum(at - (depth - gram), 0), at)
-                right = np.minimum(at + depth, len(text))
-                order = np.argsort(left, kind="stable")
-                left, right = left[order], np.maximum.accumulate(right[order]) if len(order) else right
-                first = np.flatnonzero(np.concatenate(([True], left[1:] > right[:-1]))) if len(order) else order
-                a, b = left[first].tolist(), right[np.concatenate((first[1:] - 1, [-1]))].tolist() if len(order) else []
-                kept = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
-                out["n_bytes"].append(len(text))
-                out["n_removed"].append(len(text) - len(kept))
-                out["n_spans"].append(len(a))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    out["kept_text"].append(kept.decode("utf-8", "ignore") if a else text.decode("utf-8", "replace"))
-            if not with_text:
-                del out["kept_text"]
-            made = [pa.array(v, pa.string() if k in ("kept_sha256", "kept_text") else pa.int64()) for k, v in out.items()]
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays(rest + made, [c for c in batch.schema.names if c not in ("text", "spans")] + list(out))
+            texts, spans = B.Texts(batch.column("text")), batch.column("spans")
+            rest = [c for c in batch.schema.names if c not in ("text", "spans")]
+            for i, j in B.chunks(texts):
+                out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
+                for k, text in enumerate(texts[i:j], i):
+                    a, b = _merged(spans[k].values.to_numpy() if spans[k].is_valid else np.zeros(0, np.int64), len(text), depth, gram)
+                    kept = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
+                    out["n_bytes"].append(len(text))
+                    out["n_removed"].append(len(text) - len(kept))
+                    out["n_spans"].append(len(a))
+                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                    if with_text:
+                        out["kept_text"].append(kept.decode("utf-8", "ignore") if a else text.decode("utf-8", "replace"))
+                if not with_text:
+                    del out["kept_text"]
+                made = [pa.array(v, pa.string() if k in ("kept_sha256", "kept_text") else pa.int64()) for k, v in out.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in rest] + made, [*rest, *out])
 
     return run
 
@@ -243,7 +251,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
         raise ValueError("depth is at most 255 bytes, and a gram shorter")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
 
-    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(_first_pass(depth, gram), "doc long, text_hash long, place long, group long, around long, known boolean")
+    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash long, place long, group long, around long, known boolean")
     ordered, whole = Window.partitionBy("group").orderBy("around"), Window.partitionBy("group")
     before, after = F.lag("around").over(ordered), F.lead("around").over(ordered)
     several = F.min("around").over(whole) != F.max("around").over(whole)
@@ -254,7 +262,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     on = marks.filter("on").groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"))
     # The three joins below share one shuffle of the texts.
     going = keyed.join(on, ["doc", "text_hash"]).select("doc", "text_hash", "text", "places")
-    steps = going.mapInArrow(_middle_pass(depth, gram), "doc long, text_hash long, place long, side byte, same long, known boolean")
+    steps = going.mapInArrow(B.lean(_middle_pass(depth, gram)), "doc long, text_hash long, place long, side byte, same long, known boolean")
     twice = F.col("known") | (F.count("*").over(Window.partitionBy("same")) > 1)
     sides = steps.select("doc", "text_hash", "place", "side", twice.alias("twice")).filter("twice").groupBy("doc", "text_hash", "place")
     sides = sides.agg(F.greatest(F.max("side"), F.lit(0)).cast("int").alias("right"), F.greatest(F.max(-F.col("side")), F.lit(0)).cast("int").alias("left"))
@@ -266,7 +274,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     limits = sides.select("doc", "text_hash", "place", low.alias("low"), high.alias("high")).filter("low <= high")
     limits = limits.groupBy("doc", "text_hash").agg(F.collect_list(F.expr("place * 65536 + low * 256 + high")).alias("limits"))
     going = keyed.join(limits, ["doc", "text_hash"]).select("doc", "text_hash", "text", "limits")
-    starts = going.mapInArrow(_last_pass(depth, gram), "doc long, text_hash long, start long, same long, known boolean")
+    starts = going.mapInArrow(B.lean(_last_pass(depth, gram)), "doc long, text_hash long, start long, same long, known boolean")
     repeats = starts.select("doc", "text_hash", "start", twice.alias("twice")).filter("twice")
 
     codes = marks.filter("again").select("doc", "text_hash", (F.col("place") * 2 + 1).alias("code")).unionByName(repeats.select("doc", "text_hash", (F.col("start") * 2).alias("code")))
@@ -274,7 +282,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     found = keyed.join(spans, ["doc", "text_hash"], "left").select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), *carry, "text", "spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in ("text", "spans")]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
-    return found.mapInArrow(_cut(depth, gram, with_text), schema)
+    return found.mapInArrow(B.lean(_cut(depth, gram, with_text)), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._bytes import lean
 from ._pretokens import PieceTable
 from ._store import new_path, written
 
@@ -107,14 +108,15 @@ def _write(tokenizer: str, folder: str, end_id: int):
         for batch in batches:
             if out is None:
                 out = store.open_output_stream(place, buffer_size=1 << 20)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, code in zip(batch.column("doc_id").to_pylist(), table.encoded(texts), strict=True):
-                ids = np.concatenate((np.frombuffer(code, "<u4"), end))
-                data = record(doc_id, ids, width)
-                out.write(data)
-                offsets.append(at)
-                at += len(data)
-                tokens += len(ids)
+            names = batch.column("doc_id").to_pylist()
+            for i, codes in table.encoded(batch.column("text")):
+                for doc_id, code in zip(names[i : i + len(codes)], codes, strict=True):
+                    ids = np.concatenate((np.frombuffer(code, "<u4"), end))
+                    data = record(doc_id, ids, width)
+                    out.write(data)
+                    offsets.append(at)
+                    at += len(data)
+                    tokens += len(ids)
         if out is not None:
             out.close()
             with store.open_output_stream(fs.FileSystem.from_uri(f"{name}.idx")[1]) as f:
@@ -136,7 +138,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, folder: str, *, end_id:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = chosen.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = written(dealt.mapInArrow(_write(tokenizer, folder, end_id), "shard long, path string, index_path string, records long, tokens long"), "manifest")
+    made = written(dealt.mapInArrow(lean(_write(tokenizer, folder, end_id)), "shard long, path string, index_path string, records long, tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return made.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 

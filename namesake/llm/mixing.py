@@ -101,6 +101,8 @@ def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, keep:
     Repeated rows share their fate. An empty table gives an empty result.
     """
     rows = described(docs)
+    if not with_text:
+        rows = written(rows.drop("text"), "described")  # texts are read and matched once
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     table = written(calibrated(rake(cells, targets), keep), "factors")
     if table.count() <= BROADCAST_CELLS:

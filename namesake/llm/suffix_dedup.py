@@ -128,6 +128,22 @@ def _spread(group: np.ndarray, same: np.ndarray, salt: np.ndarray) -> tuple[np.n
     return known, np.where(extra, B.mix(salt ^ same), group)
 
 
+def _split(group: np.ndarray, around: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' grams stand between different bytes in this batch, and where to send each row.
+
+    Such a gram needs no other batch to go on, so all but one of its rows meet their equals by ``around`` instead.
+    """
+    place = np.flatnonzero(to == group)
+    _, first, inverse = np.unique(group[place], return_index=True, return_inverse=True)
+    differs = np.zeros(len(first), bool)
+    differs[inverse[around[place] != around[place][first][inverse]]] = True
+    several = np.zeros(len(group), bool)
+    several[place] = differs[inverse]
+    moved = several.copy()
+    moved[place[first]] = False
+    return several, np.where(moved, B.mix(around), to)
+
+
 def _first_pass(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +161,10 @@ def _first_pass(depth: int, gram: int):
                 continue
             d, h, place, group, around = map(np.concatenate, zip(*parts, strict=True))
             known, to = _spread(group, around, B.mix(h.view(np.uint64) + place.astype(np.uint64)))
+            several, to = _split(group, around, to)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(h), pa.array(place), pa.array(to.view(np.int64)), pa.array(around.view(np.int64)), pa.array(known)],
-                ["doc", "text_hash", "place", "group", "around", "known"],
+                [pa.array(d), pa.array(h), pa.array(place), pa.array(to.view(np.int64)), pa.array(around.view(np.int64)), pa.array(known), pa.array(several)],
+                ["doc", "text_hash", "place", "group", "around", "known", "several"],
             )
 
     return run
@@ -251,10 +268,10 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
         raise ValueError("depth is at most 255 bytes, and a gram shorter")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
 
-    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash long, place long, group long, around long, known boolean")
+    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash long, place long, group long, around long, known boolean, several boolean")
     ordered, whole = Window.partitionBy("group").orderBy("around"), Window.partitionBy("group")
     before, after = F.lag("around").over(ordered), F.lead("around").over(ordered)
-    several = F.min("around").over(whole) != F.max("around").over(whole)
+    several = F.col("several") | (F.min("around").over(whole) != F.max("around").over(whole))
     first = before.isNull() | (before != F.col("around"))
     again = F.col("known") | F.coalesce(before == F.col("around"), F.lit(False)) | F.coalesce(after == F.col("around"), F.lit(False))
     marks = written(anchors.select("doc", "text_hash", "place", again.alias("again"), (several & first).alias("on")).filter("again or on"), "anchors")

@@ -151,3 +151,35 @@ def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    word, names = r"'[^\x20\x09-\x0D]+'", list(FLOORS)
+    sketch = lambda by: f"SELECT {by}feature, CASE WHEN value <= 0 THEN -1 ELSE ceil(ln(value) / ln({GAMMA})) END AS bucket, count(*) AS n FROM v GROUP BY ALL"
+
+    def fences(by: str) -> str:
+        group = f"PARTITION BY {by}feature"
+        placed = f"SELECT *, sum(n) OVER ({group} ORDER BY bucket) AS upto, sum(n) OVER ({group}) AS texts FROM ({sketch(by)})"
+        at = lambda q: f"min(CASE WHEN bucket < 0 THEN 0 ELSE pow({GAMMA}, bucket - 0.5) END) FILTER (upto >= texts * {q})"
+        quartiles = f"SELECT {by}feature, max(texts) AS texts, {at(0.25)} AS low, {at(0.75)} AS high FROM ({placed}) GROUP BY ALL"
+        each = ", ".join(f"max(greatest(high + {FENCE} * (high - low), {v})) FILTER (feature = '{k}') AS t_{k}" for k, v in FLOORS.items())
+        return f"SELECT {by}max(texts) AS texts, {each} FROM ({quartiles}) GROUP BY ALL"
+
+    pick = lambda k: f"CASE WHEN o.texts >= {MIN_GROUP} THEN o.t_{k} WHEN l.texts >= {MIN_GROUP} THEN l.t_{k} ELSE a.t_{k} END"
+    values = ", ".join(f"{_FEATURES[k].replace(' div ', ' // ')} AS {k}" for k in names)
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, chr(1)) AS g_lang, coalesce(source, chr(1)) AS g_source, coalesce(text, '') AS x FROM documents),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(x, {word}) AS w FROM t),
+q AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS times FROM (SELECT id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+rep AS (SELECT id, count(DISTINCT j) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS j FROM q WHERE times > 1) GROUP BY 1),
+lin AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(x, chr(10))) AS line FROM t) WHERE regexp_matches(line, {word}) GROUP BY 1),
+c AS MATERIALIZED (SELECT id, doc_id, g_lang, g_source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(x, '[A-Z]')) AS n_upper,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (id) LEFT JOIN lin USING (id)),
+f AS MATERIALIZED (SELECT *, {values}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM c),
+v AS MATERIALIZED (FROM (SELECT g_lang, g_source, {", ".join(names)} FROM f) UNPIVOT (value FOR feature IN ({", ".join(names)}))),
+o AS ({fences("g_lang, g_source, ")}), l AS ({fences("g_lang, ")}), a AS ({fences("")})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"f.{k} <= {pick(k)}" for k in names)} AS kept
+FROM f JOIN o USING (g_lang, g_source) JOIN l USING (g_lang), a"""
+
+
+ORACLE = _oracle()

@@ -304,3 +304,17 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by counting every window, for small tables.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * DEPTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {DEPTH - 1})) AS i FROM d)),
+k AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM w) WHERE c > 1),
+b AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {DEPTH} THEN 1 ELSE 0 END AS new FROM k),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {DEPTH} AS z FROM g GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, z FROM r UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z NULLS LAST), 0) AS y FROM t),
+o AS (SELECT doc_id, sum(z - a) AS gone, count(z) AS n_spans, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a, z NULLS LAST) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM o JOIN d USING (doc_id)"""

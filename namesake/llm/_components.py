@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label`` for every end of ``links(a, b)``; label is the least node of the component.
+    """``node, label`` for every end of ``links(a, b)``; label is the least node of the component. A written table.
 
     A union-find whose forest is a table: a round hooks every node onto the least node among its neighbours (large star),
     then flattens the trees (small star), until nothing moves. Rounds grow as the logarithm of the longest path; no
@@ -23,10 +23,14 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+        old, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before or not state[0]:
             break
         before = state
     roots = edges.select("v").distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    labels = written(ends, "labels")
+    discard(edges)
+    return labels

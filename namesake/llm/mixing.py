@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 #: Targets are observed token shares to this power, so small sources, languages and topics gain and large ones lose.
 FLATTEN = 0.7
@@ -59,13 +59,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, flatt
             share = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("share"))
             share = share.select(m, (F.col("share") / F.sum("share").over(total)).alias(f"t_{m}"))
             fitted = fitted.join(share, m)
-    fitted = written(fitted, "raking")
+    base = fitted = written(fitted, "raking")
     for done in range(0, rounds, ROUNDS_A_JOB):
         for _ in range(min(ROUNDS_A_JOB, rounds - done)):
             for m in MARGINS:
                 have = F.sum("weight").over(Window.partitionBy(m))
                 fitted = fitted.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{m}") / have).otherwise(0.0))
-        fitted = written(fitted, "raking")
+        old, fitted = base, written(fitted, "raking")
+        base = fitted
+        discard(old)
     return fitted.select(*MARGINS, "tokens", "weight")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._components import components
-from ._store import written
+from ._store import discard, written
 from ._superminhash import packed, signatures
 
 #: 32 bands of 4 values: a pair at similarity 0.75 shares no bucket with probability 5e-6, at 0.8 with 5e-8.
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Labels of linked nodes, and the buckets that still hold several components, with each one's size there."""
-        labels = written(components(links), "labels")
+        labels = components(links)
         rows_ = buckets.join(labels, buckets.digest == labels.node, "left").select("key", "digest", F.coalesce("label", "digest").alias("label"))
         per = rows_.groupBy("key", "label").agg(F.count("*").alias("n"))
         main = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("main")).filter("labels > 1")
@@ -134,7 +134,9 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     leaders = _central(labels.join(company, labels.node == company.digest), LEADERS)
     outside = apart.filter("label != main").select("digest", "main").distinct()
     met = outside.join(leaders, outside.main == leaders.label).select(F.col("digest").alias("a"), F.explode("of").alias("b"))
+    before = (links, labels, apart)
     links = written(links.unionByName(linked(met)), "verified")
+    discard(*before)
 
     labels, apart = labelled(links)
     apart = written(apart, "apart")
@@ -150,9 +152,12 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     may = f"coalesce({shared} * {100 + similarity} >= {similarity} * (l.n + r.n), true)"
     left, right = able.filter("label != main").alias("l"), able.alias("r")
     met = left.join(right, F.expr(f"l.key = r.key and l.label != r.label and {near} and {once} and {may}")).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"))
+    before = (links, labels, apart, able)
     links = written(links.unionByName(linked(met)), "verified")
+    discard(*before, sets, buckets)
 
-    labels = written(components(links), "labels")
+    labels = components(links)
+    discard(links)
     linked_nodes = nodes.join(labels, nodes.digest == labels.node).select("digest", "label", F.col("first.doc_id").alias("root"))
     least = linked_nodes.groupBy("label").agg(F.min("root").alias("least"))
     moved = linked_nodes.join(least, "label").select("digest", "least")

@@ -160,7 +160,7 @@ def _first_pass(depth: int, gram: int):
             if not parts:
                 continue
             d, h, place, group, around = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(group, around, B.mix(h.view(np.uint64) + place.astype(np.uint64)))
+            known, to = _spread(group, around, B.mix(h.astype(np.int64).view(np.uint64) + place.astype(np.uint64)))
             several, to = _split(group, around, to)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(d), pa.array(h), pa.array(place), pa.array(to.view(np.int64)), pa.array(around.view(np.int64)), pa.array(known), pa.array(several)],
@@ -185,7 +185,7 @@ def _middle_pass(depth: int, gram: int):
             if not parts:
                 continue
             d, h, place, side, same = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(same, same, B.mix(h.view(np.uint64) + place.astype(np.uint64)))
+            known, to = _spread(same, same, B.mix(h.astype(np.int64).view(np.uint64) + place.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(place), pa.array(side), pa.array(to.view(np.int64)), pa.array(known)], ["doc", "text_hash", "place", "side", "same", "known"])
 
     return run
@@ -202,7 +202,7 @@ def _last_pass(depth: int, gram: int):
             if not parts:
                 continue
             d, h, start, same = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(same, same, B.mix(h.view(np.uint64) + start.astype(np.uint64)))
+            known, to = _spread(same, same, B.mix(h.astype(np.int64).view(np.uint64) + start.astype(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(start), pa.array(to.view(np.int64)), pa.array(known)], ["doc", "text_hash", "start", "same", "known"])
 
     return run
@@ -262,13 +262,13 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
        can only be a repeat as far as both sides are.
     3. The suffixes that are left are grouped by all ``depth`` bytes; groups of two or more are the repeated windows.
 
-    Strings are compared by 64-bit hashes.
+    Strings are compared by 64-bit hashes. A row is named by doc_id and a hash of its text, so rows of one doc_id may differ.
     """
     if depth > 255 or not 0 < gram < depth:
         raise ValueError("depth is at most 255 bytes, and a gram shorter")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash("text").alias("text_hash"), "text", *carry)
 
-    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash long, place long, group long, around long, known boolean, several boolean")
+    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash int, place long, group long, around long, known boolean, several boolean")
     ordered, whole = Window.partitionBy("group").orderBy("around"), Window.partitionBy("group")
     before, after = F.lag("around").over(ordered), F.lead("around").over(ordered)
     several = F.col("several") | (F.min("around").over(whole) != F.max("around").over(whole))
@@ -279,7 +279,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     on = marks.filter("on").groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"))
     # The three joins below share one shuffle of the texts.
     going = keyed.join(on, ["doc", "text_hash"]).select("doc", "text_hash", "text", "places")
-    steps = going.mapInArrow(B.lean(_middle_pass(depth, gram)), "doc long, text_hash long, place long, side byte, same long, known boolean")
+    steps = going.mapInArrow(B.lean(_middle_pass(depth, gram)), "doc long, text_hash int, place long, side byte, same long, known boolean")
     twice = F.col("known") | (F.count("*").over(Window.partitionBy("same")) > 1)
     sides = steps.select("doc", "text_hash", "place", "side", twice.alias("twice")).filter("twice").groupBy("doc", "text_hash", "place")
     sides = sides.agg(F.greatest(F.max("side"), F.lit(0)).cast("int").alias("right"), F.greatest(F.max(-F.col("side")), F.lit(0)).cast("int").alias("left"))
@@ -291,7 +291,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_t
     limits = sides.select("doc", "text_hash", "place", low.alias("low"), high.alias("high")).filter("low <= high")
     limits = limits.groupBy("doc", "text_hash").agg(F.collect_list(F.expr("place * 65536 + low * 256 + high")).alias("limits"))
     going = keyed.join(limits, ["doc", "text_hash"]).select("doc", "text_hash", "text", "limits")
-    starts = going.mapInArrow(B.lean(_last_pass(depth, gram)), "doc long, text_hash long, start long, same long, known boolean")
+    starts = going.mapInArrow(B.lean(_last_pass(depth, gram)), "doc long, text_hash int, start long, same long, known boolean")
     repeats = starts.select("doc", "text_hash", "start", twice.alias("twice")).filter("twice")
 
     codes = marks.filter("again").select("doc", "text_hash", (F.col("place") * 2 + 1).alias("code")).unionByName(repeats.select("doc", "text_hash", (F.col("start") * 2).alias("code")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 
@@ -53,16 +54,22 @@ GROUP = 2 << 20
 class PieceTable:
     """Codes of pieces as little-endian unsigned 32-bit ids, from ``encode`` of many pieces at once, the library's if none is given."""
 
-    def __init__(self, path: str, encode: Callable[[list[str]], list[bytes]] | None = None):
+    def __init__(self, path: str, encode: Callable[[list[str]], Iterable[bytes]] | None = None, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.encode = encode or self.by_library
+        self.kept = kept
         self.codes: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            described = json.load(f)
+        self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
+        # A letter of a vocabulary entry stands for a byte.
+        self.lengths = np.zeros(max(described["model"]["vocab"].values()) + 1, np.int64)
+        for token, number in described["model"]["vocab"].items():
+            self.lengths[number] = len(token)
         found = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
         for text, number in self.special.items():
@@ -81,37 +88,37 @@ class PieceTable:
 
     def by_library(self, pieces: list[str]) -> list[bytes]:
         """Codes of pieces from the library: those of blank and letters in runs as one text, others one by one."""
-        import numpy as np
-
         found: dict[str, bytes] = {}
-        words = [p for p in pieces if _JOINABLE.fullmatch(p)]
-        for at in range(0, len(words), 2000):
-            run = words[at : at + 2000]
-            made = self.library.encode("".join(run), add_special_tokens=False)
-            word = np.array(made.word_ids)
-            ends = np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, len(word)) * 4
-            codes, begin = np.array(made.ids, "<u4").tobytes(), 0
-            if len(ends) != len(run):
+        match = _JOINABLE.fullmatch
+        words, rest = [], []
+        for p in pieces:
+            (words if match(p) else rest).append(p)
+        for at in range(0, len(words), 1000):
+            run = words[at : at + 1000]
+            text = "".join(run)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            stops = np.append(np.flatnonzero(raw == 0x20)[1:], len(raw))
+            reached = np.cumsum(self.lengths[ids])
+            ends = np.searchsorted(reached, stops)
+            if len(stops) != len(run) or (reached[ends] != stops).any():
                 raise ValueError("the library splits words otherwise")
-            for piece, end in zip(run, ends.tolist(), strict=True):
-                found[piece] = codes[begin:end]
-                begin = end
-        rest = [p for p in pieces if p not in found]
-        for piece, made in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-            found[piece] = np.array(made.ids, "<u4").tobytes()
-        return [found[p] for p in pieces]
+            ends = ((ends + 1) * 4).tolist()
+            found.update(zip(run, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        found.update(zip(rest, (np.array(made.ids, "<u4").tobytes() for made in self.library.encode_batch(rest, add_special_tokens=False)), strict=True))
+        return list(map(found.__getitem__, pieces))
 
     def encoded(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For runs of texts of an Arrow column (null: empty), where each begins and the ids of its texts, as bytes."""
-        texts = Texts(column)
+        texts, code = Texts(column), self.codes.__getitem__
         for i, j in chunks(texts, GROUP):
             split = [self.pieces(t.decode()) for t in texts[i:j]]
             new = list(set().union(*split) - self.codes.keys())
             self.codes.update(zip(new, self.encode(new), strict=True))
             made = []
             while split:  # from the end, so that pieces go as they are used
-                made.append(b"".join(map(self.codes.__getitem__, split.pop())))
+                made.append(b"".join(map(code, split.pop())))
             made.reverse()
-            for piece in new[max(0, KEPT - (len(self.codes) - len(new))) :]:
+            for piece in new[max(0, self.kept - (len(self.codes) - len(new))) :]:
                 del self.codes[piece]
             yield i, made

@@ -32,6 +32,8 @@ from ._store import new_path, written
 
 #: Added to a rotated checksum; the usual constant of such record files.
 MASK = 0xA282EAD8
+#: Pieces whose ids a worker keeps, some 200 bytes each.
+KEPT = 700_000
 _HEAD = struct.Struct("<QI")
 _DOC = struct.Struct("<qBB")
 
@@ -90,7 +92,7 @@ def read_shard(path: str, index_path: str, order: Iterable[int] | None = None) -
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> PieceTable:
-    return PieceTable(path)
+    return PieceTable(path, kept=KEPT)
 
 
 def _write(tokenizer: str, folder: str, end_id: int):

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from ._bytes import Texts, chunks
+from ._bytes import Texts, chunks, mix, powers, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -36,19 +36,62 @@ def _ranges(wanted: str) -> str:
     return "".join(out)
 
 
-def _usual_split() -> re.Pattern[str]:
-    """``PATTERN`` over usual characters, for the faster standard matcher; letters first, which changes no split."""
-    letter, number, space = _ranges(r"\p{L}"), _ranges(r"\p{N}"), _ranges(r"\s")
-    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+_UNUSUAL = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in USUAL) + "]")
+_SPLIT = regex.compile(PATTERN)
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+def _classes() -> np.ndarray:
+    """The class of each usual character."""
+    table = np.zeros(USUAL[-1][1] + 1, np.uint8)
+    for kind, wanted in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+        test = regex.compile(wanted)
+        for low, high in USUAL:
+            table[low : high + 1][[test.match(chr(cp)) is not None for cp in range(low, high + 1)]] = kind
+    return table
+
+
+_CLASS = _classes()
+_HASH = mix(np.arange(len(_CLASS), dtype=np.uint64) + np.uint64(77))
+
+
+def piece_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts of usual characters start, ``PATTERN`` worked out for all places at once.
+
+    ``points`` are the code points of all texts, one after the other, ``begins`` where each text begins. A piece is a run of
+    one class; a blank before a run belongs to it; of longer white space before a run, the last character stands apart;
+    an apostrophe that starts a piece takes the letters of a contraction.
+    """
+    n = len(points)
+    kind = _CLASS[points]
+    head = np.zeros(n + 3, bool)
+    head[begins[begins < n]] = True
+    start = head[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    inner = ~head[1 : n + 1]
+    inner[n - 1 :] = False
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & inner[:-1]) if n > 1 else np.zeros(0, np.int64)
+    start[last] = True
+    start[last[points[last] == 0x20] + 1] = False
+    mark = np.flatnonzero(start & (points == 0x27))
+    mark = mark[(mark + 1 < n) & ~head[mark + 1]]
+    padded = np.append(points, [0, 0, 0])
+    one, two = padded[mark + 1], np.where(head[mark + 2], 0, padded[mark + 2])
+    short = np.isin(one, list(b"stmd"))
+    pair = one * 256 + np.where(two < 256, two, 0)
+    long = ~short & np.isin(pair, [a * 256 + b for a, b in (b"re", b"ve", b"ll")])
+    for found, size in ((mark[short], 2), (mark[long], 3)):
+        start[found + 1] = False
+        after = found + size
+        start[after[after < n]] = True
+    return np.flatnonzero(start)
 
 
-_UNUSUAL = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in USUAL) + "]")
-_SPLIT = _usual_split()
 #: Pieces of a blank and letters: side by side they are split again at the blanks.
 _JOINABLE = re.compile(f" [{_ranges(r'\p{L}')}]+")
 #: Pieces whose codes a worker keeps between texts; others are encoded anew in each group of texts.
 KEPT = 200_000
-GROUP = 2 << 20
+GROUP = 3 << 20
 
 
 class PieceTable:
@@ -110,15 +153,37 @@ class PieceTable:
 
     def encoded(self, column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """For runs of texts of an Arrow column (null: empty), where each begins and the ids of its texts, as bytes."""
-        texts, code = Texts(column), self.codes.__getitem__
+        texts = Texts(column)
         for i, j in chunks(texts, GROUP):
-            split = [self.pieces(t.decode()) for t in texts[i:j]]
-            new = list(set().union(*split) - self.codes.keys())
+            own = [t.decode() for t in texts[i:j]]
+            odd = [k for k, t in enumerate(own) if _UNUSUAL.search(t) or self.marks and self.marks.search(t)]
+            split = [self.pieces(own[k]) for k in odd]
+            made = [b""] * len(own)
+            plain = sorted(set(range(len(own))) - set(odd))
+            joined = "".join(own[k] for k in plain)
+            points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+            begins = np.concatenate(([0], np.cumsum([len(own[k]) for k in plain]))).astype(np.int64)
+            starts = piece_starts(points, begins)
+            ends = np.append(starts[1:], len(points))[: len(starts)]
+            pre = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum(_HASH[points] * powers(len(points))[0], out=pre[1:])
+            _, first, which = np.unique(span_hash(pre, starts, ends), return_index=True, return_inverse=True)
+            distinct = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            new = list(set(distinct).union(*split) - self.codes.keys())
             self.codes.update(zip(new, self.encode(new), strict=True))
-            made = []
-            while split:  # from the end, so that pieces go as they are used
-                made.append(b"".join(map(code, split.pop())))
-            made.reverse()
+            codes = list(map(self.codes.__getitem__, distinct))
+            sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // 4
+            ids, at = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+            size = sizes[which]
+            upto = np.concatenate(([0], np.cumsum(size, dtype=np.int32)))
+            place = np.repeat(at[which] - upto[:-1], size)
+            place += np.arange(len(place), dtype=np.int32)
+            flat = ids[place]
+            cuts = upto[np.searchsorted(starts, begins)].tolist()
+            for k, a, b in zip(plain, cuts, cuts[1:], strict=False):
+                made[k] = flat[a:b].tobytes()
+            for k, pieces in zip(odd, split, strict=True):
+                made[k] = b"".join(map(self.codes.__getitem__, pieces))
             for piece in new[max(0, self.kept - (len(self.codes) - len(new))) :]:
                 del self.codes[piece]
             yield i, made

@@ -118,3 +118,35 @@ def test_frames_detect_damage():
         unframe(data[:-1])
     assert frame(b"") == struct.pack("<QI", 0, masked(bytes(8))) + struct.pack("<I", masked(b""))
     assert token_records.MASK == 0xA282EAD8
+
+
+def test_places_at_once_are_the_patterns_pieces():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    part = st.text(alphabet="'stmdrevlx  \n\t\xa0  12é-.中　ÅǄ́·", max_size=25)
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(part, min_size=1, max_size=5))
+    def check(texts):
+        texts = [t for t in texts if not _pretokens._UNUSUAL.search(t)]
+        whole = "".join(texts)
+        begins = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        starts = _pretokens.piece_starts(np.frombuffer(whole.encode("utf-32-le"), np.uint32), begins).tolist()
+        assert [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)][: len(starts)], strict=True)] == [p for t in texts for p in _pretokens._SPLIT.findall(t)]
+
+    check()
+
+
+def test_random_texts_are_the_librarys(library):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("'stmdrevl ab  \n\t1é-.中\U0001f600͸<|endoftext|>") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += ["<|endoftext|>", "x<|endoftext|>'s", None]
+    codes = [c for _, run in _loaded(PATH)[1].encoded(pa.array(texts)) for c in run]
+    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    from namesake.llm._pretokens import PieceTable
+
+    again = [c for _, run in PieceTable(PATH).encoded(pa.array(texts)) for c in run]
+    assert again == codes

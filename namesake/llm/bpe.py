@@ -140,20 +140,23 @@ def _loaded(path: str) -> tuple[TrieEncoder, PieceTable]:
 def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = _loaded(path)
-        for batch in batches:
-            for i, codes in table.encoded(batch.column("text")):
-                n, ids_hash, text_hash, kept = [], [], [], []
-                for code in codes:
-                    ids = np.frombuffer(code, "<u4")
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(code).hexdigest())
-                    text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+        try:
+            for batch in batches:
+                for i, codes in table.encoded(batch.column("text")):
+                    n, ids_hash, text_hash, kept = [], [], [], []
+                    for code in codes:
+                        ids = np.frombuffer(code, "<u4")
+                        n.append(len(ids))
+                        ids_hash.append(hashlib.sha256(code).hexdigest())
+                        text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+                        if with_ids:
+                            kept.append(ids.view(np.int32))
+                    columns = {"doc_id": batch.column("doc_id").slice(i, len(codes)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
                     if with_ids:
-                        kept.append(ids.view(np.int32))
-                columns = {"doc_id": batch.column("doc_id").slice(i, len(codes)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-                if with_ids:
-                    columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                        columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        finally:
+            _loaded.cache_clear()  # some 200 MB, which an idle worker would keep from the steps that follow
 
     return run
 

@@ -25,17 +25,19 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 def multiset_jaccard(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id1, id2, kind, dist`` for the pairs and kinds where both articles have tokens: 1 - sum(min) / sum(max).
 
-    Tokens go to the candidate pairs, not every pair that shares a token, so a word that stands everywhere costs no more than
-    others: the work is pairs times tokens of an article. The sum of maxima is n1 + n2 less the sum of minima.
+    The n-th of equal tokens is an item of its own, so multisets become sets and the sum of minima the size of an
+    intersection; that of maxima is n1 + n2 less it. An article's items stand in one array of 64-bit hashes, and the arrays
+    are joined to the candidate pairs: a word that stands everywhere costs no more than others, and no row is made for a
+    shared token.
     """
-    totals = counts.groupBy("kind", "id").agg(F.sum("n").alias("n"))
-    both = pairs.join(totals.select(F.col("id").alias("id1"), "kind", F.col("n").alias("n1")), "id1")
-    both = both.join(totals.select(F.col("id").alias("id2"), "kind", F.col("n").alias("n2")), ["id2", "kind"])
-    left = pairs.join(counts.select(F.col("id").alias("id1"), "kind", "token", F.col("n").alias("x")), "id1")
-    met = left.join(counts.select(F.col("id").alias("id2"), "kind", "token", F.col("n").alias("y")), ["id2", "kind", "token"])
-    common = met.groupBy("id1", "id2", "kind").agg(F.sum(F.least("x", "y")).alias("common"))
-    out = both.join(common, ["id1", "id2", "kind"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    return out.select("id1", "id2", "kind", (1 - F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("dist"))
+    item = F.explode(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.xxhash64("token", k)))
+    items = counts.select("kind", "id", item.alias("item")).groupBy("kind", "id").agg(F.collect_list("item").alias("items"))
+    left = items.select(F.col("id").alias("id1"), "kind", F.col("items").alias("a"))
+    right = items.select(F.col("id").alias("id2"), "kind", F.col("items").alias("b"))
+    both = pairs.join(left, "id1").join(right, ["id2", "kind"])
+    common = F.size(F.array_intersect("a", "b"))
+    both = both.select("id1", "id2", "kind", common.alias("common"), (F.size("a") + F.size("b")).alias("n"))
+    return both.select("id1", "id2", "kind", (1 - F.col("common") / (F.col("n") - F.col("common"))).alias("dist"))
 
 
 def wide(distances: DataFrame) -> DataFrame:

@@ -108,14 +108,14 @@ def rule_matches(spark: SparkSession, d: str) -> DataFrame:
 def _distances(spark: SparkSession, d: str) -> DataFrame:
     c = testdata.corpus(spark, d)
     pairs = blocking.article_pairs(blocking.candidate_pairs(c.signatures, c.signatures))
-    return distance.multiset_jaccard(distance.token_counts(workflow.all_tokens(c)), pairs)
+    return distance.multiset_jaccard(distance.token_counts(workflow.all_tokens(c, workflow.ids_of(pairs))), pairs)
 
 
 def _kind(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = testdata.corpus(spark, d)
         pairs = blocking.article_pairs(blocking.candidate_pairs(c.signatures, c.signatures))
-        tokens = workflow.all_tokens(c).filter(F.col("kind") == kind)
+        tokens = workflow.all_tokens(c, workflow.ids_of(pairs)).filter(F.col("kind") == kind)
         return _rounded(distance.multiset_jaccard(distance.token_counts(tokens), pairs).select("id1", "id2", "dist"), "dist")
 
     return run

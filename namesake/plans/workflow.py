@@ -38,9 +38,14 @@ def valid_process_id(process_id: int | str) -> int:
     return int(process_id)
 
 
-def all_tokens(c: Corpus, *, distinct_items: bool = False) -> DataFrame:
-    """Tokens of the five kinds; ``distinct_items`` counts an item of a child table once for each article, as in training."""
-    once = (lambda df, *cols: df.select("id", *cols).distinct()) if distinct_items else (lambda df, *cols: df.select("id", *cols))
+def all_tokens(c: Corpus, ids: DataFrame | None = None, *, distinct_items: bool = False) -> DataFrame:
+    """Tokens of the five kinds, of the articles in ``ids(id)`` if given; ``distinct_items`` counts an item of a child table once for each article, as in training."""
+
+    def once(df: DataFrame, column: str) -> DataFrame:
+        chosen = df.select("id", column)
+        chosen = chosen if ids is None else chosen.join(ids, "id", "left_semi")
+        return chosen.distinct() if distinct_items else chosen
+
     kinds = [
         D.tokens_of("title", once(c.articles, "title"), "title"),
         D.tokens_of("keywords", once(c.keywords.withColumn("keyword", F.lower("keyword")), "keyword"), "keyword"),
@@ -54,6 +59,11 @@ def all_tokens(c: Corpus, *, distinct_items: bool = False) -> DataFrame:
     return out
 
 
+def ids_of(pairs: DataFrame) -> DataFrame:
+    """``id``: the articles that stand in any pair; no other article's text is cut into tokens."""
+    return pairs.select(F.col("id1").alias("id")).unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
+
+
 def batch_features(c: Corpus, process_id: int | str | None = None) -> DataFrame:
     """Features of all candidate pairs of a process's signatures, or of all signatures; one lazy plan."""
     batch = c.signatures
@@ -61,7 +71,7 @@ def batch_features(c: Corpus, process_id: int | str | None = None) -> DataFrame:
         mine = c.articles.filter(F.col("processid") == valid_process_id(process_id)).select("id")
         batch = batch.join(mine, "id", "left_semi")
     pairs = candidate_pairs(batch, c.signatures)
-    near = D.multiset_jaccard(D.token_counts(all_tokens(c)), article_pairs(pairs))
+    near = D.multiset_jaccard(D.token_counts(all_tokens(c, ids_of(pairs))), article_pairs(pairs))
     return pair_features(pairs, c.signatures, c.articles, c.topics, D.wide(near), c.classes)
 
 

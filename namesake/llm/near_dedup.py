@@ -162,6 +162,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     least = linked_nodes.groupBy("label").agg(F.min("root").alias("least"))
     moved = linked_nodes.join(least, "label").select("digest", "least")
     classes = nodes.join(moved, "digest", "left").select("digest", F.coalesce("least", "first.doc_id").alias("component"))
+    classes = written(classes, "classes")  # so that adaptive execution can split a set that a third of the rows have
     found = signed.select("doc_id", "n_shingles", "digest", *["text_hash"] * with_hash).join(classes, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), *["text_hash"] * with_hash)

@@ -38,7 +38,9 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code = code << _U(8) | folded[j : j + n].astype(_U)
         solid += folded[j : j + n] != 0x20
     at = np.flatnonzero(solid >= GRAM - 1)
-    return code[at], np.searchsorted(starts, at, side="right") - 1
+    owner = np.searchsorted(starts, at, side="right") - 1
+    inside = at + GRAM <= starts[owner + 1]  # up to the line feed after the text, never into the next
+    return code[at[inside]], owner[inside]
 
 
 def _positions(code: np.ndarray, size: int) -> list[np.ndarray]:

@@ -100,6 +100,16 @@ def test_bit_slices_hold_every_language_and_few_others():
     assert abs(rate - f.false_positive[0]) < 0.01
 
 
+def test_a_text_is_judged_alone():
+    grams = {"x": np.arange(1 << 16), "y": np.array([0x61626320])}
+    f = language_id.LanguageFilters.build(grams)
+    texts = [b"abc", b"zq", b"abc ab", b"", b"q", b"bcd"]
+    together = f.coverage(texts)
+    assert (together == np.concatenate([f.coverage([t]) for t in texts])).all()
+    found = language_id._grams(texts)
+    assert found[0].tolist() == [0x61626320, 0x61626320, 0x62632061, 0x63206162, 0x62636420] and found[1].tolist() == [0, 2, 2, 2, 5]
+
+
 # Fingerprints
 
 

@@ -26,11 +26,10 @@ def _words(text: Column) -> Column:
 
 
 def gate(found: list[Rule]) -> str:
-    """One pattern that every text with a rule's keyword or a base phrase matches; words are tried at their starts only."""
-    starts = {k for r in found for k in (r.keyword, f"l{r.keyword}", f"a{r.keyword}", f"g{r.keyword}", f"0{r.keyword}") if k == r.keyword or k in ("lgpl", "agpl", "gfdl", "0bsd")}
-    starts |= {p.split()[0] for p in BASE}
+    """One pattern that every text with a match of a rule or a base phrase matches; words are tried at their starts only."""
+    starts = {r.opening for r in found} | {p.split()[0] for p in BASE}
     least = sorted(k for k in starts if not any(k != o and k.startswith(o) for o in starts))
-    return "(?i)(?<![0-9a-z])(?:" + "|".join(k.replace(".", r"\.") for k in least) + ")"
+    return "(?i)(?<![0-9a-z])(?:" + "|".join(least) + ")"
 
 
 def _detections(found: list[Rule]) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from namesake.llm import chat_format, fingerprints, language_id, license_scan, mixing, quality
-from namesake.llm.license_rules import LONGEST, rules
+from namesake.llm.license_rules import _FAMILIES, _LEADS, _SENTENCES, LONGEST, rules
 
 from .conftest import SCHEMA, odd_rows, words
 
@@ -211,6 +211,29 @@ def test_containment_matches_brute_force(spark):
     assert [tuple(d) for d in got] == kept
 
 
+def detected(text):
+    """All patterns without any gate, then containment."""
+    low = text.translate(LOWER)
+    every = sorted((m.start(), -m.end(), r.priority, k, r.label) for k, r in enumerate(rules()) for m in re.finditer(r.pattern.replace(r"\x{10ffff}", "\U0010ffff"), low))
+    return [x for i, x in enumerate(every) if not any(y[0] <= x[0] and -y[1] >= -x[1] and y[2] <= x[2] for y in every[:i])]
+
+
+def test_no_gate_hides_a_match(spark):
+    words = [w for _, w in _SENTENCES] + [n for f in _FAMILIES for n in f[1]]
+    words += [f"{_LEADS[k % len(_LEADS)]} the {n}" for k, n in enumerate(n for f in _FAMILIES for n in f[1])]
+    words = [w.replace("[sc]", "s").replace("v?", "") for w in words]
+    texts = [gap.join(w.split()) for w in words for gap in (" ", "\n * ", "-", ' "')]
+    texts += [f"{before}{x}" for f in _FAMILIES for x in (*f[2], *f[3]) for before in ("", "SPDX-License-Identifier: ", "xSPDX-License-Identifier:\t", "see www.", "see x")]
+    texts += ["CC BY SA 4.0", "CC BY NC 4.0", "all  rights\nreserved", "Permission\nis hereby granted, free of charge, to any person obtaining a copy", "GNU Lesser\n * General Public License", "the licence of a library in the public interest"]
+    found = license_scan.scan(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)).collect()
+    wanted = [detected(t) for t in texts]
+    assert {k for w in wanted for *_, k, _ in w} == set(range(len(rules())))
+    for r in found:
+        assert [tuple(d) for d in r.detections] == wanted[r.doc_id], texts[r.doc_id]
+    labels = {texts[r.doc_id]: r.labels for r in found}
+    assert labels["CC BY SA 4.0"] == "cc-by,cc-by-sa" and labels["all  rights\nreserved"] == "proprietary"
+
+
 # Chats
 
 

@@ -20,11 +20,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least doc_id."""
+    """One row of each group of near duplicates: of the least doc_id (null comes last), then of the text with the least hash, and of
+    repeated rows one. Rows without a word belong to no group and stay."""
     docs = docs.select(*COLUMNS)
-    gone = near_dedup.near_duplicates(docs, with_hash=True).filter("not kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_hash").distinct()
-    same = (F.coalesce(docs.doc_id, F.lit(0)) == gone.id) & (docs.doc_id.isNull() == gone.none) & (F.xxhash64(docs.text) == gone.text_hash)
-    return docs.join(gone, same, "left_anti")
+    found = near_dedup.near_duplicates(docs, with_hash=True).withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
+    names = found.filter("n_shingles > 0").groupBy("id", "none", "text_hash").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    marked = written(names.filter("not first or n > 1"), "marked")
+    same = (F.coalesce(docs.doc_id, F.lit(0)) == marked.id) & (docs.doc_id.isNull() == marked.none) & (F.xxhash64(docs.text) == marked.text_hash)
+    once = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("first")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("other"))
+    return once.unionByName(again.select("doc_id", "text", "other.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,18 +83,22 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
       node at hand, a text shares at most h; and two texts share no more of a block of hash values than either has there. A pair
       whose bounds stay below similarity is out.
       This last step makes the result whole: two members of a bucket that are linked end in one component.
-    * Null or wordless texts have an empty set, no link, and are kept. A row without doc_id takes the component of an equal
-      set, or null where there is none, and is kept only in the latter case. ``with_hash`` adds text_hash, which with doc_id names the row. Rows with one doc_id and several texts are
-      grouped by each text. Other columns are not read.
+    * Null or wordless texts have an empty set, no link, and are kept. Rows without doc_id are linked like others; component_id
+      is null where no row of the component has one, and there the rows of the text with the least hash are kept. Rows with one doc_id
+      and several texts are grouped by each text. Other columns are not read.
+    * ``with_hash`` adds text_hash, which with doc_id names the row, and first: whether that is the component's least name
+      (true without a set). Kept rows of one doc_id may have several names, and repeated rows share theirs.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = written(
         source.mapInArrow(B.lean(_sign(width, bands, rows)), "doc_id long, text_hash long, n_shingles long, digest binary, keys array<long>"), "signatures"
     )
-    named = signed.filter("digest is not null and doc_id is not null")
-    nodes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    firsts = named.select("digest", "keys", F.struct("doc_id", "text_hash").alias("first")).join(nodes, ["digest", "first"], "left_semi").dropDuplicates(["digest"])
+    # A row's name; those without doc_id come last.
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "text_hash")
+    named = signed.filter("digest is not null").select("digest", "keys", name.alias("first"))
+    nodes = named.groupBy("digest").agg(F.min("first").alias("first"))
+    firsts = named.join(nodes, ["digest", "first"], "left_semi").dropDuplicates(["digest"])
 
     entries = firsts.select("digest", "first", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").count().filter("count > 1")
@@ -103,7 +107,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
     company = buckets.groupBy("digest").agg(F.sum("count").alias("company"), F.array_sort(F.collect_list("key")).alias("keys"))
 
     wanted = buckets.select("first.*").distinct()
-    sets = source.join(wanted, ["doc_id", "text_hash"], "left_semi").select("text")
+    sets = source.select(name.alias("name"), "text").select("name.*", "text").join(wanted, ["none", "id", "text_hash"], "left_semi").select("text")
     sets = written(sets.mapInArrow(B.lean(_shingle_sets(width)), "digest binary, shingles array<long>, blocks array<smallint>").dropDuplicates(["digest"]), "sets")
 
     whole = sets.select("digest", "shingles")
@@ -158,14 +162,16 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, similarity: int = SI
 
     labels = components(links)
     discard(links)
-    linked_nodes = nodes.join(labels, nodes.digest == labels.node).select("digest", "label", F.col("first.doc_id").alias("root"))
+    linked_nodes = nodes.join(labels, nodes.digest == labels.node).select("digest", "label", F.col("first").alias("root"))
     least = linked_nodes.groupBy("label").agg(F.min("root").alias("least"))
     moved = linked_nodes.join(least, "label").select("digest", "least")
-    classes = nodes.join(moved, "digest", "left").select("digest", F.coalesce("least", "first.doc_id").alias("component"))
+    classes = nodes.join(moved, "digest", "left").select("digest", F.coalesce("least", "first").alias("class"))
     classes = written(classes, "classes")  # so that adaptive execution can split a set that a third of the rows have
-    found = signed.select("doc_id", "n_shingles", "digest", *["text_hash"] * with_hash).join(classes, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"), *["text_hash"] * with_hash)
+    found = signed.select("doc_id", "n_shingles", "digest", "text_hash").join(classes, "digest", "left")
+    component = F.when(F.col("class.none"), None).otherwise(F.coalesce("class.id", "doc_id"))
+    first = F.coalesce(name == F.col("class"), F.lit(True))
+    kept = F.when(component.isNull(), first).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), *["text_hash", first.alias("first")] * with_hash)
 
 
 def _central(members: DataFrame, k: int) -> DataFrame:

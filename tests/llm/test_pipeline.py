@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from namesake.llm import mixing
 
+from .conftest import SCHEMA, odd_rows, words
 from .test_near_dedup import brute as near_brute
 from .test_suffix_dedup import brute as suffix_brute
 from .test_tokens import PATH
@@ -65,3 +66,26 @@ def test_odd_and_empty_tables(spark, odd, empty):
             docs = f(spark, docs, TINY)
         assert docs.count() >= n
     assert odd.select(F.col("doc_id")).count() > 10
+
+
+def least_of_each_class(rows):
+    """The texts of the first row of each class, rows in order of doc_id, null last; wordless ones all."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    return sorted((r[1] or "" for (r, (_, _, kept)) in zip(rows, near_brute([(k, r[1]) for k, r in enumerate(rows)]).values(), strict=True) if kept))
+
+
+def test_one_row_of_each_class_keeps_its_text(spark, odd):
+    stage = dict(STAGES)
+    texts = [words(120, k) for k in range(6)]
+    edited = [t.replace(t.split()[60], "changed", 1) for t in texts]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0]), (2, edited[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (None, edited[2]), (4, texts[3]), (None, edited[3]), (5, texts[4]), (5, texts[4].upper()), (None, texts[5])]
+    docs = spark.createDataFrame([(*r, "en", "a", k) for k, r in enumerate(rows)], SCHEMA)
+    second = stage["near_dedup"](spark, docs, TINY)
+    left = sorted((r.doc_id or 0, r.text) for r in second.collect())
+    assert [(i, t) for i, t in left if i] == [(1, texts[0]), (4, texts[3]), (5, next(t for i, t in left if i == 5))]
+    assert [t for i, t in left if not i] == sorted(t for t in (texts[1], next(t for _, t in left if t in (texts[2], edited[2])), texts[5]))
+    third = stage["suffix_dedup"](spark, second, TINY)
+    assert sorted((r.doc_id or 0, r.text) for r in third.collect()) == left
+
+    after = stage["near_dedup"](spark, odd, TINY).collect()
+    assert sorted(r.text or "" for r in after) == least_of_each_class(odd_rows())

@@ -13,10 +13,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which becomes their lang; what is undetermined goes."""
+    """Documents with a language, which becomes their lang; what is undetermined goes, and what shares no n-gram with a learned language beyond chance."""
     docs = docs.select(*COLUMNS)
     found = language_id.identify(docs, language_id.learn(docs), carry=COLUMNS)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

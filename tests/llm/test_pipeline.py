@@ -89,3 +89,10 @@ def test_one_row_of_each_class_keeps_its_text(spark, odd):
 
     after = stage["near_dedup"](spark, odd, TINY).collect()
     assert sorted(r.text or "" for r in after) == least_of_each_class(odd_rows())
+
+
+def test_texts_of_no_learned_language_go(spark):
+    known = [(k, words(60, k), "en" if k % 2 else "fr", "a", 1) for k in range(40)]
+    unknown = [(100, "никто не знает этого языка здесь", None, "a", 1), (101, "QXZ " * 20, None, "a", 1)]
+    docs = spark.createDataFrame(known + unknown, SCHEMA)
+    assert sorted(r.doc_id for r in dict(STAGES)["language_id"](spark, docs, TINY).collect()) == [r[0] for r in known]

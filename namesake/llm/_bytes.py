@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 CHUNK = 1 << 19
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Longest span that is hashed in 8-byte steps beside all others; longer ones are hashed one by one.
+_STEPPED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,43 +29,66 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _table(lower: bool) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        t = mix((np.arange(256, dtype=_U) + _U(1)) * _U(0xD1342543DE82EF95))
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-BYTE, BYTE_LOWER = _table(False), _table(True)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+#: The low n bytes of a word.
+LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**t and BASE**-t modulo 2**64 for t < n."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, b, _U)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on (zeros behind the end) as a little-endian number."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
-def prefix(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = hash of buf[i:j] times BASE**i."""
-    out = np.empty(len(buf) + 1, _U)
-    out[0] = 0
-    np.cumsum(table[buf] * powers(len(buf))[0], out=out[1:])
-    return out
-
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span ``buf[start:end]``, the same wherever the span stands.
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span, the same wherever the span stands."""
-    inverse = powers(len(pre))[1]
-    return mix((pre[end] - pre[start]) * inverse[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+    Eight bytes at a time go through ``mix``, which keeps two strings apart from their first difference on but for chance: no
+    sum or product over all bytes is taken, so no family of texts collides.
+    """
+    size = end - start
+    h = mix(size.astype(_U) + _U(0xA24BAED4963EE407))
+    word = eights(buf)
+    active = np.flatnonzero(size <= _STEPPED)
+    at, left, state = start[active], size[active], h[active]
+    while len(active):
+        go = left > 0
+        if not go.all():
+            h[active[~go]] = state[~go]
+            active, at, left, state = active[go], at[go], left[go], state[go]
+        state = mix(state ^ (word[at] & LOW[np.minimum(left, 8)])) + _U(0x9E3779B97F4A7C15)
+        at, left = at + 8, left - 8
+    long = np.flatnonzero(size > _STEPPED)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        h[long] = mix(np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], _U))
+    return h
+
+
+def classes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, equal for equal spans and for no others: found by hash, then compared byte by byte."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    _, first, which = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
+    if not same_as(buf, start, end, first[which]):
+        known: dict[bytes, int] = {}
+        raw = buf.tobytes()
+        return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    return which
+
+
+def same_as(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span k equals span ``other[k]``."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    differs = np.flatnonzero(other != np.arange(len(other)))
+    size, begin = size[differs], start[differs]
+    flat = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return bool((buf[flat] == buf[flat + np.repeat(start[other[differs]] - begin, size)]).all())
 
 
 class Texts:
@@ -133,7 +158,6 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
 
     A text longer than ``CHUNK`` is cut at white space, so the working memory is that of one chunk (or of one word).
     """
-    table = BYTE_LOWER if lower else BYTE
     if len(texts) == 1 and len(texts[0]) > 2 * CHUNK:
         parts, at, text = [], 0, np.frombuffer(texts[0], np.uint8)
         while at < len(text):
@@ -146,8 +170,7 @@ def words_of(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
         return h, np.array([0, len(h)])
     buf, starts = joined(texts)
     s, e = word_spans(buf)
-    h = span_hash(prefix(buf, table), s, e) if len(s) else np.zeros(0, _U)
-    return h, np.searchsorted(s, starts)
+    return span_hash(LOWER[buf] if lower else buf, s, e), np.searchsorted(s, starts)
 
 
 _STEP = mix(np.arange(1, 65, dtype=_U)) | _U(1)

@@ -41,18 +41,19 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The counts of ``_COUNTS`` for each text."""
     buf, starts = B.joined(texts)
     out = {"word_chars": _per_text(_LEAD[buf], starts), "n_symbols": _per_text(_SYMBOL[buf], starts), "n_upper": _per_text(_UPPER[buf], starts)}
-    pre = B.prefix(buf, B.BYTE)
 
     ws, we = B.word_spans(buf)
-    h, bounds = B.span_hash(pre, ws, we), np.searchsorted(ws, starts)
+    word, bounds = B.classes(buf, ws, we), np.searchsorted(ws, starts)
     out["n_words"] = np.diff(bounds)
     owner = np.repeat(np.arange(len(texts)), out["n_words"])
-    n = max(0, len(h) - 2)
+    n = max(0, len(word) - 2)
     inside = np.flatnonzero(owner[:n] == owner[2:]) if n else np.zeros(0, np.int64)
-    run = B.mix(h[inside] * np.uint64(3) + h[inside + 1] * np.uint64(5) + h[inside + 2] * np.uint64(7) + owner[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, inverse, count = np.unique(run, return_inverse=True, return_counts=True)
-    twice = inside[count[inverse] > 1]
-    covered = np.zeros(len(h) + 1, bool)
+    # Windows by exact numbers: of the first two words, of those and the third, of those and the text.
+    run = word[inside]
+    for part in (word[inside + 1], word[inside + 2], owner[inside]):
+        run = np.unique(run * (int(part.max(initial=0)) + 1) + part, return_inverse=True)[1]
+    twice = inside[np.bincount(run, minlength=1)[run] > 1]
+    covered = np.zeros(len(word) + 1, bool)
     for j in range(3):
         covered[twice + j] = True
     out["n_repeat_words"] = _per_text(covered[:-1], bounds)
@@ -62,9 +63,8 @@ def text_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     worded = np.searchsorted(ws, breaks) > np.searchsorted(ws, ls)
     ls, le = ls[worded], breaks[worded]
     text = np.searchsorted(starts, ls, side="right") - 1
-    line = B.mix(B.span_hash(pre, ls, le) + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(line, return_index=True)
-    again = np.ones(len(line), np.int64)
+    _, first = np.unique(B.classes(buf, ls, le) * len(texts) + text, return_index=True)
+    again = np.ones(len(ls), np.int64)
     again[first] = 0
     out["n_lines"] = np.bincount(text, minlength=len(texts))
     out["n_dup_lines"] = np.bincount(text, weights=again, minlength=len(texts)).astype(np.int64)

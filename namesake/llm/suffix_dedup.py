@@ -1,4 +1,4 @@
-"""Removal of repeated passages: depth-limited radix grouping of suffixes over whole texts."""
+"""Removal of repeated passages: depth-limited most-significant-digit radix passes over the suffixes of whole texts."""
 
 from __future__ import annotations
 
@@ -14,11 +14,17 @@ from . import _bytes as B
 from ._store import written
 
 DEPTH = 200
-#: Bytes that the first pass sorts by.
+#: Bytes of the first digit.
 GRAM = 48
-#: Steps by which the middle pass goes from a gram to full depth, on either side.
-STEPS = 4
+#: Runs of one first digit that a task sorts together; the runs of a more common one get a longer first digit.
+TOGETHER = 4096
+#: Windows of a run that share a longer first digit, pass by pass; a digit of one window is the window.
+NARROWER = (19, 3, 1)
+#: Bytes of runs that a task sorts at a time, whole groups.
+SLAB = 4 << 20
 _NO_ID = -(1 << 63)
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
@@ -29,79 +35,81 @@ def _least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - (width - size)], low[width - size :]) if width > size else low
 
 
+_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _order(buf: np.ndarray, gram: int) -> np.ndarray:
+    """A number for the gram at each place, the same wherever it stands, by which grams are ordered; it proves nothing equal."""
+    n = len(buf)
+    if len(_powers[0]) <= n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.full(1 << n.bit_length(), b, _U)
+            _powers[k][0] = 1
+            np.multiply.accumulate(_powers[k], out=_powers[k])
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(B.mix(np.arange(1, 257, dtype=_U))[buf] * _powers[0][:n], out=sums[1:])
+    return B.mix((sums[gram:] - sums[: n - gram + 1]) * _powers[1][: n - gram + 1])
+
+
 class _Chunk:
-    """Texts side by side, or one piece of a long text, with the suffixes that begin there.
+    """Texts side by side, or one piece of a long text, with the suffixes that begin there, ``depth`` bytes of each.
 
-    A suffix is stood for by its anchor: of the grams that its first ``depth`` bytes hold, the one of least hash (the first
-    of equals). Equal windows have equal anchors at equal distances, so a pass over anchors sees every repeat.
+    Suffixes are held in runs: all that follow one another and have their first digit in common, the gram of least
+    ``_order`` among those that their bytes hold (the first of equals), at the run's anchor. Equal suffixes have equal
+    digits at equal distances. A unit (place, low, high) is a run: its anchor, and the least and greatest distance to it.
     """
 
     def __init__(self, texts: list[bytes], depth: int, gram: int, offset: int = 0, head: int = 0, tail: int | None = None):
         self.depth, self.gram, self.offset, self.home = depth, gram, offset, (head, tail)
         self.buf, self.starts = B.joined(texts)
-        n = len(self.buf)
-        self.pre = B.prefix(self.buf, B.BYTE)
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Text number, anchor (in the buffer), low and high of every run."""
+        n, (head, tail) = len(self.buf), self.home
         mark = np.zeros(n + 1, np.int32)
-        first, last = self.starts[:-1] + head, self.starts[1:] - 1 - depth + 1
+        first, last = self.starts[:-1] + head, self.starts[1:] - 1 - self.depth + 1
         if tail is not None:
             last = np.minimum(last, self.starts[:-1] + tail)
         some = last > first
         np.add.at(mark, first[some], 1)
         np.add.at(mark, last[some], -1)
-        self.windows = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-        bits = np.uint64(max(1, (n - 1).bit_length()))
-        place = np.arange(max(0, n - gram + 1), dtype=np.uint64)
-        grams = (self.pre[gram:] - self.pre[: n - gram + 1]) * B.powers(n + 1)[1][: len(place)] if n >= gram else place
-        key = ((B.mix(grams) >> bits) << bits) | place
-        if len(self.windows):
-            low = _least_in_windows(key, depth - gram + 1)[self.windows]
-            self.anchor = (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-        else:
-            self.anchor = self.windows
-
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """Text number, place in the text, hash of the gram, and hash of all that windows with this anchor can hold."""
-        seen = np.zeros(len(self.buf), bool)
-        seen[self.anchor] = True
-        at = np.flatnonzero(seen)
-        text = np.searchsorted(self.starts, at, side="right") - 1
-        left = np.maximum(at - (self.depth - self.gram), self.starts[text])
-        right = np.minimum(at + self.depth, self.starts[text + 1] - 1)
-        around = B.mix(B.span_hash(self.pre, left, right) + (at - left).astype(np.uint64))
-        return text, at - self.starts[text] + self.offset, B.span_hash(self.pre, at, at + self.gram), around
-
-    def steps(self, places: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Text number, anchor, side and hash of what stands between each anchor of ``places`` and each step away from it.
-
-        Side k > 0 is the anchor's gram and k steps to the right, -k the gram and k steps to the left, inside the text.
-        """
+        windows = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        if not len(windows):
+            return windows, windows, windows, windows
+        bits = _U(max(1, (n - 1).bit_length()))
+        key = _order(self.buf, self.gram)
+        key = ((key >> bits) << bits) | np.arange(len(key), dtype=_U)
+        anchor = (_least_in_windows(key, self.depth - self.gram + 1)[windows] & _U((1 << int(bits)) - 1)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        end = np.append(begin[1:], len(anchor)) - 1
+        at = anchor[begin]
+        return np.searchsorted(self.starts, at, side="right") - 1, at, at - windows[end], at - windows[begin]
+
+    def given(self, units: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """The same for units of the texts, those whose anchor is at home in this piece."""
         head, tail = self.home
-        at = [p - self.offset for p in places]
-        at = [p[(p >= head) & (p < (end - start if tail is None else tail))] + start for start, end, p in zip(self.starts[:-1], self.starts[1:], at, strict=True)]
-        text = np.repeat(np.arange(len(at)), [len(p) for p in at])
-        at = np.concatenate(at)
-        step = -(-(self.depth - self.gram) // STEPS)
-        found = []
-        for k in range(1, STEPS + 1):
-            reach = min(k * step, self.depth - self.gram)
-            for side, left, right in ((k, at, at + self.gram + reach), (-k, at - reach, at + self.gram)):
-                ok = (left >= self.starts[text]) & (right < self.starts[text + 1])
-                same = B.mix(B.span_hash(self.pre, left[ok], right[ok]) + np.uint64(side + 1000))
-                found.append((text[ok], at[ok] - self.starts[text[ok]] + self.offset, np.full(int(ok.sum()), side), same))
-        return tuple(map(np.concatenate, zip(*found, strict=True)))
-
-    def chosen(self, limits: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Text number, start and hash of the windows that begin between ``low`` and ``high`` bytes before an anchor of
-        ``limits``, each (place << 16 | low << 8 | high)."""
-        low, high = np.ones(len(self.buf), np.int16), np.zeros(len(self.buf), np.int16)
-        for start, end, codes in zip(self.starts[:-1], self.starts[1:], limits, strict=True):
-            p = (codes >> 16) - self.offset
-            ok = (p >= 0) & (p < end - start)
-            low[p[ok] + start], high[p[ok] + start] = codes[ok] >> 8 & 255, codes[ok] & 255
-        before = self.anchor - self.windows
-        at = self.windows[(before >= low[self.anchor]) & (before <= high[self.anchor])]
-        text = np.searchsorted(self.starts, at, side="right") - 1
-        return text, at - self.starts[text] + self.offset, B.span_hash(self.pre, at, at + self.depth)
+        text = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        unit = np.concatenate(units)
+        at = (unit >> 16) - self.offset
+        ok = (at >= head) & (at < (np.iinfo(np.int64).max if tail is None else tail))
+        return text[ok], at[ok] + self.starts[text[ok]], unit[ok] >> 8 & 255, unit[ok] & 255
+
+    def narrowed(self, text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """Runs cut where the distance to the anchor passes a multiple of ``width``."""
+        parts = high // width - low // width + 1
+        which = np.repeat(np.arange(len(at)), parts)
+        t = low[which] // width + np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+        return text[which], at[which], np.maximum(low[which], t * width), np.minimum(high[which], t * width + width - 1)
+
+    def units(self, text: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, width: int | None) -> tuple[np.ndarray, ...]:
+        """Text number, unit, hash of the first digit, and hash of all bytes of the run."""
+        if width is None:
+            group = B.span_hash(self.buf, at, at + self.gram)
+        else:
+            t = low // width
+            group = B.mix(B.span_hash(self.buf, at - t * width, at + self.depth - (t * width + width - 1)) + (t * 256 + width).astype(_U))
+        around = B.mix(B.span_hash(self.buf, at - high, at + self.depth - low) ^ B.mix((low * 256 + high).astype(_U)))
+        return text, (at - self.starts[text] + self.offset) << 16 | low << 8 | high, group, around
 
 
 def _pieces(texts: B.Texts | list[bytes], depth: int, gram: int) -> Iterator[tuple[int, int, _Chunk]]:
@@ -116,22 +124,24 @@ def _pieces(texts: B.Texts | list[bytes], depth: int, gram: int) -> Iterator[tup
             yield i, j, _Chunk(own, depth, gram)
 
 
-def _spread(group: np.ndarray, same: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spread(group: np.ndarray, around: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows have an equal in this batch, and where to send each: the first of equals to its group, others anywhere.
 
     Equals within a batch prove each other, so one of them is enough for the rest of the corpus, and a group
     that holds a third of all rows still sends one row a batch to the group's task.
     """
-    _, first, inverse, count = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
-    known = count[inverse] > 1
-    extra = known & (first[inverse] != np.arange(len(same)))
-    return known, np.where(extra, B.mix(salt ^ same), group)
+    _, first, inverse, count = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
+    doubtful = np.zeros(len(first), bool)
+    doubtful[inverse[group != group[first][inverse]]] = True
+    known = (count > 1)[inverse] & ~doubtful[inverse]
+    extra = known & (first[inverse] != np.arange(len(around)))
+    return known, np.where(extra, B.mix(salt ^ around), group)
 
 
 def _split(group: np.ndarray, around: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows' grams stand between different bytes in this batch, and where to send each row.
+    """Which rows' first digit stands in different runs of this batch, and where to send each row.
 
-    Such a gram needs no other batch to go on, so all but one of its rows meet their equals by ``around`` instead.
+    Such a digit needs no other batch to go on, so all but one of its rows meet their equals by ``around`` instead.
     """
     place = np.flatnonzero(to == group)
     _, first, inverse = np.unique(group[place], return_index=True, return_inverse=True)
@@ -144,84 +154,155 @@ def _split(group: np.ndarray, around: np.ndarray, to: np.ndarray) -> tuple[np.nd
     return several, np.where(moved, B.mix(around), to)
 
 
-def _first_pass(depth: int, gram: int):
+_UNITS = "doc long, text_hash long, unit long, to long, gram long, around long, known boolean, several boolean"
+
+
+def _lists(column) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
+
+def _first_digits(depth: int, gram: int, width: int | None):
+    """Rows of ``_UNITS``: every run of the texts, or, with a width, the narrower runs of the units in column units."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = B.Texts(batch.column("text"))
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
-            parts, last = [], (-1, np.zeros(0, np.int64))
-            for i, _, chunk in _pieces(texts, depth, gram):
-                text, place, group, around = chunk.anchors()
-                if last[0] == i:
-                    fresh = ~np.isin(place, last[1])
-                    text, place, group, around = text[fresh], place[fresh], group[fresh], around[fresh]
-                last = (i, place)
-                parts.append((doc[i + text], text_hash[i + text], place, group, around))
+            given = _lists(batch.column("units")) if width else None
+            parts = []
+            for i, j, chunk in _pieces(B.Texts(batch.column("text")), depth, gram):
+                found = chunk.narrowed(*chunk.given(given[i:j]), width) if given else chunk.runs()
+                text, unit, group, around = chunk.units(*found, width)
+                parts.append((doc[i + text], text_hash[i + text], unit, group, around))
             if not parts:
                 continue
-            d, h, place, group, around = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(group, around, B.mix(h.astype(np.int64).view(np.uint64) + place.astype(np.uint64)))
+            d, h, unit, group, around = map(np.concatenate, zip(*parts, strict=True))
+            known, to = _spread(group, around, B.mix(h.view(_U) + unit.astype(_U)))
             several, to = _split(group, around, to)
+            here = pa.array(group.view(np.int64), mask=to == group)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d), pa.array(h), pa.array(place), pa.array(to.view(np.int64)), pa.array(around.view(np.int64)), pa.array(known), pa.array(several)],
-                ["doc", "text_hash", "place", "group", "around", "known", "several"],
+                [pa.array(d), pa.array(h), pa.array(unit), pa.array(to.view(np.int64)), here, pa.array(around.view(np.int64)), pa.array(known), pa.array(several)],
+                ["doc", "text_hash", "unit", "to", "gram", "around", "known", "several"],
             )
 
     return run
 
 
-def _lists(column) -> list[np.ndarray]:
-    return [x.values.to_numpy() for x in column]
-
+def _shipped(depth: int):
+    """``gid, doc, text_hash, unit, run`` of every unit in column units: the bytes of its run."""
 
-def _middle_pass(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
-            places, parts = _lists(batch.column("places")), []
-            for i, j, chunk in _pieces(B.Texts(batch.column("text")), depth, gram):
-                text, place, side, same = chunk.steps(places[i:j])
-                parts.append((doc[i + text], text_hash[i + text], place, side.astype(np.int8), same))
-            if not parts:
-                continue
-            d, h, place, side, same = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(same, same, B.mix(h.astype(np.int64).view(np.uint64) + place.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(place), pa.array(side), pa.array(to.view(np.int64)), pa.array(known)], ["doc", "text_hash", "place", "side", "same", "known"])
+            units, texts = batch.column("units"), B.Texts(batch.column("text"))
+            for i, j in B.chunks(texts):
+                n = np.array([len(units[k]) for k in range(i, j)])
+                own = units.slice(i, j - i).flatten()
+                at = own.field("unit").to_numpy()
+                begin, end = ((at >> 16) - (at & 255)).tolist(), ((at >> 16) + depth - (at >> 8 & 255)).tolist()
+                which = np.repeat(np.arange(j - i), n)
+                raw = texts[i:j]
+                runs = pa.array([raw[k][a:b] for k, a, b in zip(which.tolist(), begin, end, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.field("gid"), pa.array(doc[i + which]), pa.array(text_hash[i + which]), own.field("unit"), runs], ["gid", "doc", "text_hash", "unit", "run"])
 
     return run
 
 
-def _last_pass(depth: int, gram: int):
+def _refined(group: np.ndarray, *digits: np.ndarray) -> np.ndarray:
+    """The group of each row by its group and digits, in their order; -1 in a group of one."""
+    order = np.lexsort((*digits[::-1], group))
+    new = np.zeros(len(order), bool)
+    for column in (group, *digits):
+        ranked = column[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    number = np.cumsum(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.where(np.bincount(number)[number] > 1, number, -1) if len(order) else number
+    return out
+
+
+def repeated_windows(gid: np.ndarray, low: np.ndarray, high: np.ndarray, runs: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs that are whole groups by ``gid``: run number and distance from the anchor of each window that another window equals.
+
+    Digits of eight bytes are taken from the anchor on, to the right and to the left. A pass sorts the runs of each group
+    by the next digit, which refines the group, and drops groups of one. What a window holds is so many right digits, so many
+    left ones, and less than a digit on either side: windows with all of these in common are equal, byte by byte.
+    """
+    buf = np.frombuffer(b"".join(runs), np.uint8)
+    begin = np.cumsum([0, *map(len, runs)])[:-1]
+    at = begin + high
+    word = B.eights(buf)
+
+    def sides(reach: np.ndarray, digit) -> np.ndarray:
+        """Row k: the group of each run by its first k digits, -1 where it is alone or does not reach as far."""
+        out = [np.unique(gid, return_inverse=True)[1]]
+        while True:
+            group = np.full(len(at), -1, np.int64)
+            active = np.flatnonzero((out[-1] >= 0) & (reach >= 8 * len(out)))
+            if not len(active):
+                return np.stack(out)
+            group[active] = _refined(out[-1][active], word[digit(active, len(out))].byteswap())
+            out.append(group)
+
+    right = sides(depth - low, lambda rows, k: at[rows] + 8 * (k - 1))
+    left = sides(high, lambda rows, k: at[rows] - 8 * k)
+    size = high - low + 1
+    run = np.repeat(np.arange(len(at)), size)
+    a = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    i, j = a // 8, (depth - a) // 8
+    ok = (i < len(left)) & (j < len(right))
+    run, a, i, j = run[ok], a[ok], i[ok], j[ok]
+    ok = (left[i, run] >= 0) & (right[j, run] >= 0)
+    run, a, i, j = run[ok], a[ok], i[ok], j[ok]
+    before = word[at[run] - a] & B.LOW[a - 8 * i]
+    after = word[at[run] + 8 * j] & B.LOW[depth - a - 8 * j]
+    same = _refined(left[i, run] * 256 + a, right[j, run], before, after) >= 0
+    return run[same], a[same]
+
+
+def _sorted_groups(depth: int):
+    """``doc, text_hash, code`` of the removed stretches of each run, from rows of ``_shipped`` sorted by gid."""
+
+    def stretches(rows: pa.Table) -> pa.RecordBatch:
+        doc, text_hash, unit, gid = (rows.column(c).to_numpy() for c in ("doc", "text_hash", "unit", "gid"))
+        run, a = repeated_windows(gid, unit >> 8 & 255, unit & 255, rows.column("run").to_pylist(), depth)
+        new = np.concatenate(([True], (run[1:] != run[:-1]) | (a[1:] != a[:-1] + 1)))[: len(run)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(run))[: len(first)] - 1
+        code = ((unit[run[first]] >> 16) - a[last]) * 1024 + depth + a[last] - a[first]
+        return pa.RecordBatch.from_arrays([pa.array(doc[run[first]]), pa.array(text_hash[run[first]]), pa.array(code)], ["doc", "text_hash", "code"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            doc, text_hash = (batch.column(c).to_numpy() for c in ("doc", "text_hash"))
-            limits, parts = _lists(batch.column("limits")), []
-            for i, j, chunk in _pieces(B.Texts(batch.column("text")), depth, gram):
-                text, start, same = chunk.chosen(limits[i:j])
-                parts.append((doc[i + text], text_hash[i + text], start, same))
-            if not parts:
-                continue
-            d, h, start, same = map(np.concatenate, zip(*parts, strict=True))
-            known, to = _spread(same, same, B.mix(h.astype(np.int64).view(np.uint64) + start.astype(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(start), pa.array(to.view(np.int64)), pa.array(known)], ["doc", "text_hash", "start", "same", "known"])
+            held.append(batch)
+            size += batch.nbytes
+            if size > SLAB:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                gid = rows.column("gid").to_numpy()
+                whole = int(np.searchsorted(gid, gid[-1]))
+                if whole:
+                    yield stretches(rows.slice(0, whole))
+                    held = rows.slice(whole).to_batches()
+                    size = sum(b.nbytes for b in held)
+        if held:
+            yield stretches(pa.Table.from_batches(held))
 
     return run
 
 
-def _merged(code: np.ndarray, n: int, depth: int, gram: int) -> tuple[list[int], list[int]]:
-    """Starts and ends of the removed runs of a text of n bytes: codes are places of anchors (odd) and of windows (even)."""
+def _merged(code: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the removed runs of a text of n bytes, from stretches (start * 1024 + length)."""
     if not len(code):
         return [], []
-    at = code >> 1
-    left = np.where(code & 1, np.maximum(at - (depth - gram), 0), at)
-    right = np.minimum(at + depth, n)
-    order = np.argsort(left, kind="stable")
-    left, right = left[order], np.maximum.accumulate(right[order])
+    left = np.sort(code)
+    right = np.minimum(np.maximum.accumulate((left >> 10) + (left & 1023)), n)
+    left = left >> 10
     first = np.flatnonzero(np.concatenate(([True], left[1:] > right[:-1])))
     return left[first].tolist(), right[np.concatenate((first[1:] - 1, [-1]))].tolist()
 
 
-def _cut(depth: int, gram: int, with_text: bool):
+def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, spans = B.Texts(batch.column("text")), batch.column("spans")
@@ -229,7 +310,7 @@ def _cut(depth: int, gram: int, with_text: bool):
             for i, j in B.chunks(texts):
                 out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept_text": []}
                 for k, text in enumerate(texts[i:j], i):
-                    a, b = _merged(spans[k].values.to_numpy() if spans[k].is_valid else np.zeros(0, np.int64), len(text), depth, gram)
+                    a, b = _merged(spans[k].values.to_numpy() if spans[k].is_valid else np.zeros(0, np.int64), len(text))
                     kept = b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True))
                     out["n_bytes"].append(len(text))
                     out["n_removed"].append(len(text) - len(kept))
@@ -245,61 +326,73 @@ def _cut(depth: int, gram: int, with_text: bool):
     return run
 
 
-def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, together: int = TOGETHER, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs(doc_id, text)``.
 
     A byte is removed if a ``depth``-byte string that covers it starts anywhere else, in the same text or another; texts
     are judged as they came, as UTF-8. Null is empty; a text shorter than ``depth`` loses nothing; with a row twice,
-    each is the other's repeat. Null doc_ids are rows like others. With ``with_text``, kept_text holds the remaining bytes
-    as text (characters cut in two go whole); columns named in ``carry`` are passed on, others are not read.
-
-    Radix passes from the front, each dropping groups of one:
-
-    1. The suffixes of a text are held by anchors, about one in 75 bytes. Anchors are grouped by ``gram`` bytes, then by
-       all bytes that their windows can hold. Equals at that depth are repeats at once; only one of them goes on, and only
-       if the gram also stands elsewhere between other bytes.
-    2. What goes on is grouped by the gram and one to four steps to the right, and to the left. A window around an anchor
-       can only be a repeat as far as both sides are.
-    3. The suffixes that are left are grouped by all ``depth`` bytes; groups of two or more are the repeated windows.
-
-    Strings are compared by 64-bit hashes. A row is named by doc_id and a hash of its text, so rows of one doc_id may differ.
+    each is the other's repeat. Null doc_ids are rows like others; an empty table gives an empty result; long texts are read whole, in
+    pieces. With ``with_text``, kept_text holds the remaining bytes as text (characters cut in two go whole); columns named in
+    ``carry`` are passed on, others are not read.
+
+    Suffixes are sorted only as far as equality at ``depth`` bytes asks, by most-significant-digit passes that drop groups of one:
+
+    1. The first digit deals the suffixes out: ``gram`` bytes that are chosen from a suffix by what they are, so that neighbours share
+       one and travel as a run (one in some 75 bytes). A digit that no other run has ends its run. Runs that
+       are equal as a whole are repeats at once, and one of them goes on, if other runs have the digit too.
+    2. The runs of a digit go to one task as bytes, which sorts them by digit after digit from there on (``repeated_windows``):
+       groups of two or more suffixes at full depth are the repeated windows, proved by their bytes.
+
+    A digit with more than ``together`` runs is not sorted in one task: its runs are cut into narrower ones, whose first digit is
+    all that their suffixes share, and the first pass is repeated for them, down to runs of one suffix, where the digit is the
+    suffix. Whole runs are compared by two 64-bit hashes (digit and run). A row is named by doc_id and a hash of its text, so rows of one
+    doc_id may differ.
     """
     if depth > 255 or not 0 < gram < depth:
         raise ValueError("depth is at most 255 bytes, and a gram shorter")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash("text").alias("text_hash"), "text", *carry)
-
-    anchors = keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_pass(depth, gram)), "doc long, text_hash int, place long, group long, around long, known boolean, several boolean")
-    ordered, whole = Window.partitionBy("group").orderBy("around"), Window.partitionBy("group")
-    before, after = F.lag("around").over(ordered), F.lead("around").over(ordered)
-    several = F.col("several") | (F.min("around").over(whole) != F.max("around").over(whole))
-    first = before.isNull() | (before != F.col("around"))
-    again = F.col("known") | F.coalesce(before == F.col("around"), F.lit(False)) | F.coalesce(after == F.col("around"), F.lit(False))
-    marks = written(anchors.select("doc", "text_hash", "place", again.alias("again"), (several & first).alias("on")).filter("again or on"), "anchors")
-
-    on = marks.filter("on").groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"))
-    # The three joins below share one shuffle of the texts.
-    going = keyed.join(on, ["doc", "text_hash"]).select("doc", "text_hash", "text", "places")
-    steps = going.mapInArrow(B.lean(_middle_pass(depth, gram)), "doc long, text_hash int, place long, side byte, same long, known boolean")
-    twice = F.col("known") | (F.count("*").over(Window.partitionBy("same")) > 1)
-    sides = steps.select("doc", "text_hash", "place", "side", twice.alias("twice")).filter("twice").groupBy("doc", "text_hash", "place")
-    sides = sides.agg(F.greatest(F.max("side"), F.lit(0)).cast("int").alias("right"), F.greatest(F.max(-F.col("side")), F.lit(0)).cast("int").alias("left"))
-    span = depth - gram
-    step = -(-span // STEPS)
-    # A side that repeats for k steps, and not for k + 1, ends within the step after k.
-    high = F.least((F.col("left") + 1) * step - 1, F.lit(span))
-    low = F.greatest(F.lit(span) - ((F.col("right") + 1) * step - 1), F.lit(0))
-    limits = sides.select("doc", "text_hash", "place", low.alias("low"), high.alias("high")).filter("low <= high")
-    limits = limits.groupBy("doc", "text_hash").agg(F.collect_list(F.expr("place * 65536 + low * 256 + high")).alias("limits"))
-    going = keyed.join(limits, ["doc", "text_hash"]).select("doc", "text_hash", "text", "limits")
-    starts = going.mapInArrow(B.lean(_last_pass(depth, gram)), "doc long, text_hash int, start long, same long, known boolean")
-    repeats = starts.select("doc", "text_hash", "start", twice.alias("twice")).filter("twice")
-
-    codes = marks.filter("again").select("doc", "text_hash", (F.col("place") * 2 + 1).alias("code")).unionByName(repeats.select("doc", "text_hash", (F.col("start") * 2).alias("code")))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
+
+    def passed(units: DataFrame, name: str) -> DataFrame:
+        """``doc, text_hash, unit, gid, again, on``: runs that are repeats as they are, and those whose digit other runs have."""
+        gid = F.coalesce("gram", "to")
+        ordered, whole = Window.partitionBy("to").orderBy("around", gid), Window.partitionBy("to")
+        mine = F.struct("around", gid.alias("gid"))
+        before, after = F.lag(mine).over(ordered), F.lead(mine).over(ordered)
+        several = F.col("several") | (F.min("around").over(whole) != F.max("around").over(whole))
+        again = F.col("known") | F.coalesce(before == mine, F.lit(False)) | F.coalesce(after == mine, F.lit(False))
+        first = before.isNull() | (before != mine)
+        return written(units.select("doc", "text_hash", "unit", gid.alias("gid"), again.alias("again"), (several & first).alias("on")).filter("again or on"), name)
+
+    marks = passed(keyed.select("doc", "text_hash", "text").mapInArrow(B.lean(_first_digits(depth, gram, None)), _UNITS), "runs")
+    settled, sortable, left = [marks.filter("again")], [], marks.filter("on")
+    for width in NARROWER:
+        common = left.groupBy("gid").count().filter(F.col("count") > together).select("gid")
+        if common.isEmpty():
+            break
+        sortable.append(left.join(common, "gid", "left_anti"))
+        units = left.join(common, "gid", "left_semi").groupBy("doc", "text_hash").agg(F.collect_list("unit").alias("units"))
+        narrow = keyed.join(units, ["doc", "text_hash"]).select("doc", "text_hash", "text", "units").mapInArrow(B.lean(_first_digits(depth, gram, width)), _UNITS)
+        marks = passed(narrow, f"runs-{width}")
+        settled.append(marks.filter("again"))
+        left = marks.filter("on")
+    sortable.append(left)
+
+    every = sortable[0].select("doc", "text_hash", "unit", "gid")
+    for more in sortable[1:]:
+        every = every.unionByName(more.select("doc", "text_hash", "unit", "gid"))
+    units = every.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("unit", "gid")).alias("units"))
+    # The joins below and above share one shuffle of the texts.
+    shipped = keyed.join(units, ["doc", "text_hash"]).select("doc", "text_hash", "text", "units").mapInArrow(B.lean(_shipped(depth)), "gid long, doc long, text_hash long, unit long, run binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    codes = shipped.repartition(parts, "gid").sortWithinPartitions("gid").mapInArrow(B.lean(_sorted_groups(depth)), "doc long, text_hash long, code long")
+    code = F.expr(f"(shiftright(unit, 16) - (unit & 255)) * 1024 + {depth} + (unit & 255) - (shiftright(unit, 8) & 255)")
+    for again in settled:
+        codes = codes.unionByName(again.select("doc", "text_hash", code.alias("code")))
     spans = codes.groupBy("doc", "text_hash").agg(F.collect_list("code").alias("spans"))
     found = keyed.join(spans, ["doc", "text_hash"], "left").select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), *carry, "text", "spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in ("text", "spans")]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
-    return found.mapInArrow(B.lean(_cut(depth, gram, with_text)), schema)
+    return found.mapInArrow(B.lean(_cut(with_text)), schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
+
 from namesake.llm import _bytes as B
+from namesake.llm import suffix_dedup as S
 from namesake.llm.suffix_dedup import cut_repeats, op9_suffix_dedup
 
 from .conftest import SCHEMA, odd_rows, words
@@ -36,26 +40,46 @@ def test_odd_rows_and_long_texts_in_pieces(odd, monkeypatch):
     assert rows(cut_repeats(odd)) == sorted(brute(texts))
 
 
-def test_pieces_of_a_long_text_agree_with_the_whole():
-    import numpy as np
+def covered(chunk):
+    """Every window: place, anchor and first digit."""
+    text, at, low, high = chunk.runs()
+    unit, group = chunk.units(text, at, low, high, None)[1:3]
+    return [((u >> 16) - a, u >> 16, g) for u, g in zip(unit.tolist(), group.tolist(), strict=True) for a in range(u >> 8 & 255, (u & 255) + 1)]
 
-    from namesake.llm import suffix_dedup as S
 
+def test_pieces_of_a_long_text_agree_with_the_whole(monkeypatch):
     text = (words(4000, 1) + " ") * 2 + words(30_000, 2)
-    whole = S._Chunk([text.encode()], 200, 48)
-    found = set()
-    chunk, B.CHUNK = B.CHUNK, 20_000
-    try:
-        last = np.zeros(0, np.int64)
-        for _, _, piece in S._pieces([text.encode()], 200, 48):
-            place, around = piece.anchors()[1], piece.anchors()[3]
-            fresh = ~np.isin(place, last)
-            last = place
-            assert not found & set(zip(place[fresh].tolist(), around[fresh].tolist(), strict=True))
-            found |= set(zip(place[fresh].tolist(), around[fresh].tolist(), strict=True))
-    finally:
-        B.CHUNK = chunk
-    assert found == set(zip(whole.anchors()[1].tolist(), whole.anchors()[3].tolist(), strict=True))
+    whole = covered(S._Chunk([text.encode()], 200, 48))
+    assert sorted(w[0] for w in whole) == list(range(len(text) - 199))
+    monkeypatch.setattr(B, "CHUNK", 20_000)
+    assert sorted(w for _, _, piece in S._pieces([text.encode()], 200, 48) for w in covered(piece)) == sorted(whole)
+
+
+def test_common_digits_are_sorted_in_narrower_runs(spark, odd):
+    """With two runs to a task, most digits take all passes."""
+    rng = random.Random(3)
+    shared = [words(40, 90 + k)[:210] for k in range(4)]
+    texts = [words(20, 200 + i) + rng.choice(shared)[: rng.randint(150, 210)] + words(20, 300 + i) for i in range(60)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    assert rows(cut_repeats(df, together=2)) == rows(cut_repeats(df)) == sorted(brute(texts))
+    assert rows(cut_repeats(odd, together=2)) == sorted(brute([r[1] for r in odd_rows()]))
+
+
+def test_digit_passes_are_brute_force():
+    rng = random.Random(5)
+    for trial in range(30):
+        depth = rng.choice([20, 37, 64])
+        anchor = "".join(rng.choice("xyz") for _ in range(6))
+        gid, low, high, runs = [], [], [], []
+        for _ in range(25):
+            hi = rng.randint(0, depth - 6)
+            lo = rng.randint(0, hi)
+            left, right = "".join(rng.choice("ab") if rng.random() < 0.1 else "a" for _ in range(hi)), "".join(rng.choice("ab") if rng.random() < 0.1 else "a" for _ in range(depth - lo - 6))
+            gid.append(rng.randint(0, 2)), low.append(lo), high.append(hi), runs.append((left + anchor + right).encode())
+        windows = [(g, a, r[hi - a : hi - a + depth], k) for k, (g, lo, hi, r) in enumerate(zip(gid, low, high, runs, strict=True)) for a in range(lo, hi + 1)]
+        times = Counter(w[:3] for w in windows)
+        run, a = S.repeated_windows(np.array(gid), np.array(low), np.array(high), runs, depth)
+        assert sorted(zip(run.tolist(), a.tolist(), strict=True)) == sorted((w[3], w[1]) for w in windows if times[w[:3]] > 1), trial
 
 
 def test_empty_table(empty):

@@ -10,9 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from xxhash import xxh3_64_intdigest
 
-from ._bytes import Texts, chunks, mix, same_as
+from ._bytes import Texts, chunks, same_as, span_hash
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -53,29 +52,16 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_HASH = mix(np.arange(len(_CLASS), dtype=np.uint64) + np.uint64(77))
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def piece_classes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """The first piece of each class of equal pieces, and the class of every piece; None where hashes cannot tell two apart.
+def piece_classes(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The first piece of each class of equal pieces of a text of usual characters, and the class of every piece.
 
-    Hashed by a few code points in turn, and by length and the last ones beyond; every piece is then compared with the first of its class.
+    Pieces are hashed, two bytes a character, then each is compared with the first of its class; None where two differ.
     """
-    size = ends - starts
-    h = mix(size.astype(np.uint64))
-    active = np.arange(len(starts))
-    for k in range(int(min(size.max(initial=0), 24))):
-        active = active[size[active] > k]
-        h[active] = (h[active] ^ _HASH[points[starts[active] + k]]) * _STEP
-        if k % 2:
-            h[active] ^= h[active] >> np.uint64(32)
-    long = active[size[active] > 24]
-    if len(long):
-        view = memoryview(np.ascontiguousarray(points))
-        h[long] ^= np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)], np.uint64)
-    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    return (first, which) if same_as(points, starts, ends, first[which]) else None
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    _, first, which = np.unique(span_hash(units.view(np.uint8), 2 * starts, 2 * ends), return_index=True, return_inverse=True)
+    return (first, which) if same_as(units, starts, ends, first[which]) else None
 
 
 def piece_starts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -188,7 +174,7 @@ class PieceTable:
             begins = np.concatenate(([0], np.cumsum([len(own[k]) for k in plain]))).astype(np.int64)
             starts = piece_starts(points, begins)
             ends = np.append(starts[1:], len(points))[: len(starts)]
-            found = piece_classes(points, starts, ends)
+            found = piece_classes(joined, starts, ends)
             if found is None:
                 split, odd, plain, joined = [self.pieces(t) for t in own], list(range(len(own))), [], ""
                 starts, ends, begins, found = starts[:0], ends[:0], begins[:1], (starts[:0], starts[:0])

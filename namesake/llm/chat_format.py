@@ -56,53 +56,74 @@ def parse(rendered: str) -> list[Turn]:
     return turns
 
 
-class RewritesHistory(ValueError):
-    """A template whose output for a prefix of turns is not the beginning of its output for more turns."""
-
-
 @dataclass
 class Formatted:
     text: str
-    #: For each turn, where its part of the text begins and ends.
+    #: For each turn, where its part of the text begins and ends; empty if the template rewrites history.
     spans: list[tuple[int, int]]
     #: Spans of characters that count for the loss.
     loss: list[tuple[int, int]]
+    #: The first turn whose rendering changes the text before it, None if none does.
+    rewrites: int | None = None
+
+
+#: Two texts of one letter that no text or markup uses: what differs between their renderings is the place of the text.
+_PROBES = ("\ue000", "\ue001")
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def format_turns(turns: list[Turn], template: Template = markdown_template, *, written: Callable[[str], str] = escape, learn: str = "assistant") -> Formatted:
+def format_turns(turns: list[Turn], template: Template = markdown_template, *, learn: str = "assistant") -> Formatted:
     """Renders the prefixes of ``turns`` one after the other with ``template``, which is called as a black box.
 
-    The part of each output beyond the one before is the turn's span; an output that changes what was there raises
-    RewritesHistory. Within the span of a turn of role ``learn``, the mask covers the turn's text as the template
-    writes it (``written``), the last place where it stands; ValueError if it is not there.
+    The part of each output beyond the one before is the turn's span. Within the span of a turn of role ``learn``, the mask covers
+    what the template writes for the text: the turn is rendered with two probes in place of its text, and what stands before
+    and behind the place where they differ is the turn's markup. A template whose output for some prefix is not the beginning of
+    its output for the next rewrites history: the text is then the rendering of all turns, ``rewrites`` names the turn, and nothing
+    is masked for the loss, as no place is sure. ValueError if a text changes the markup of its own turn, or stands there twice.
     """
     before, spans, loss = template([]), [], []
     for k, (role, text) in enumerate(turns):
         after = template(turns[: k + 1])
         if not after.startswith(before):
-            raise RewritesHistory(f"turn {k} changes the text before it")
-        spans.append((len(before), len(after)))
+            return Formatted(template(turns), [], [], k)
         if role == learn:
-            at = after.rfind(written(text), len(before))
-            if at < 0:
-                raise ValueError(f"the text of turn {k} is not in its span")
-            loss.append((at, at + len(written(text))))
+            first, second = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
+            head, tail = _common(first, second), _common(first[::-1], second[::-1])
+            if first.count(_PROBES[0], head) > 1:
+                raise ValueError(f"the template writes the text of turn {k} twice")
+            if len(after) < head + tail or after[:head] != first[:head] or after[len(after) - tail :] != first[len(first) - tail :]:
+                raise ValueError(f"the text of turn {k} changes its markup")
+            loss.append((head, len(after) - tail))
+        spans.append((len(before), len(after)))
         before = after
     return Formatted(before, spans, loss)
 
 
-def _render(with_text: bool):
+@dataclass(frozen=True)
+class Chat:
+    """A template, how its output for one turn is read back, and how a text under the mask is."""
+
+    template: Template = markdown_template
+    read: Callable[[str], list[Turn]] | None = parse
+    plain: Callable[[str], str] = unescape
+    learn: str = "assistant"
+
+
+def _render(chat: Chat, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for conv_id, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-                made = format_turns([(t["role"], t["text"]) for t in turns])
-                back = hashlib.sha256()
-                read = [turn for a, b in made.spans for turn in parse(made.text[a:b])]
-                for role, text in read:
-                    back.update(f"{role}\n{text}\n".encode())
-                learned = "".join(unescape(made.text[a:b]) for a, b in made.loss)
-                row = {"conv_id": conv_id, "n_turns": len(read), "turns_sha256": back.hexdigest(), "loss_chars": len(learned), "loss_sha256": hashlib.sha256(learned.encode()).hexdigest(), "formatted_chars": len(made.text)}
+                made = format_turns([(t["role"], t["text"]) for t in turns], chat.template, learn=chat.learn)
+                read = [turn for a, b in made.spans for turn in chat.read(made.text[a:b])] if chat.read and made.rewrites is None else None
+                back = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in read or []).encode()).hexdigest() if read is not None else None
+                learned = "".join(chat.plain(made.text[a:b]) for a, b in made.loss)
+                row = {"conv_id": conv_id, "n_turns": len(turns) if read is None else len(read), "turns_sha256": back, "loss_chars": len(learned), "loss_sha256": hashlib.sha256(learned.encode()).hexdigest(), "formatted_chars": len(made.text), "rewrites_turn": made.rewrites}
                 if with_text:
                     row |= {"formatted": made.text, "loss_spans": [{"start": a, "end": b} for a, b in made.loss]}
                 rows.append(row)
@@ -112,24 +133,29 @@ def _render(with_text: bool):
 
 
 def _arrow(with_text: bool) -> pa.Schema:
-    fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+    fields = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_turn", pa.int64())]
     spans = [("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
     return pa.schema(fields + spans * with_text)
 
 
-def format_conversations(conversations: DataFrame, *, with_text: bool = False) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` (and ``formatted``, ``loss_spans``) of each
-    conversation of ``conversations(conv_id, turn, role, text)``.
+def format_conversations(conversations: DataFrame, chat: Chat = Chat(), *, with_text: bool = False) -> DataFrame:
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites_turn`` (and ``formatted``, ``loss_spans``) of
+    each conversation of ``conversations(conv_id, turn, role, text)``.
 
     Turns go by turn (null first), ties by role, then text; repeated rows are turns like others. Null roles and texts are
-    empty. Rows without conv_id are one conversation. The digests are of what is read back from the output: of role,
-    line feed, text, line feed for each turn, and of all text under the loss mask, unescaped. Other columns are not read.
-    A conversation is a row of the result and is rendered by one task, as a template sees it whole.
+    empty. Nothing holds rows without conv_id together: each is a conversation of its own. The digests are of what is read back
+    from the output: of role, line feed, text, line feed for each turn (null for a template without a reader), and of all
+    text under the loss mask, unescaped. Where the template rewrites history, rewrites_turn is the first turn (from 0) that does, else null;
+    such a conversation has no loss mask and no turns_sha256. An empty table gives an empty result; other columns are not read. A
+    conversation is a row of the result and is rendered by one task, as a template sees it whole: long texts and many turns
+    need that task's memory, and time that grows with the square of the turns.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return grouped.mapInArrow(_render(with_text), schema + ", formatted string, loss_spans array<struct<start: long, end: long>>" * with_text)
+    named = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("_turn"))
+    grouped = named.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("_turn")).alias("turns"))
+    grouped = grouped.unionByName(named.filter("conv_id is null").select("conv_id", F.array("_turn").alias("turns")))
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_turn long"
+    return grouped.mapInArrow(_render(chat, with_text), schema + ", formatted string, loss_spans array<struct<start: long, end: long>>" * with_text)
 
 
 #: A conversation whose texts look like markup, formatted with all others.
@@ -146,11 +172,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH own AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(15 + length(role) + len(regexp_extract_all(role, '[\\:\n]')) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')))::BIGINT AS formatted_chars
-FROM own GROUP BY conv_id"""
+  sum(15 + length(role) + len(regexp_extract_all(role, '[\\:\n]')) + length(text) + len(regexp_extract_all(text, '\\|###|</turn>')))::BIGINT AS formatted_chars, NULL::BIGINT AS rewrites_turn
+FROM own GROUP BY conv_id, alone"""

@@ -17,7 +17,7 @@ DEPTH = 200
 #: Bytes of the first digit.
 GRAM = 48
 #: Runs of one first digit that a task sorts together; the runs of a more common one get a longer first digit.
-TOGETHER = 4096
+TOGETHER = 1024
 #: Windows of a run that share a longer first digit, pass by pass; a digit of one window is the window.
 NARROWER = (19, 3, 1)
 #: Bytes of runs that a task sorts at a time, whole groups.

@@ -282,20 +282,44 @@ def test_round_trip_of_random_texts():
     check()
 
 
-def test_template_that_rewrites_history_is_found():
-    def last_only(turns):
-        return "".join(f"[{r}]{t if k == len(turns) - 1 else '...'}" for k, (r, t) in enumerate(turns))
-
-    with pytest.raises(chat_format.RewritesHistory):
-        chat_format.format_turns([("user", "a"), ("assistant", "b")], last_only)
+def test_mask_lies_on_the_text():
+    """Texts that are parts of the markup around them, by position, for two templates."""
+    markup = ["turn", "t", ">", " ", "/turn>", "turn>", "\n", "</turn>", "assistant", ": ", "###", "", "\ue000", "a\ue001b"]
+    for text in markup:
+        made = chat_format.format_turns([("user", text), ("assistant", text), ("user", text), ("assistant", text)])
+        for k, (a, b) in zip((1, 3), made.loss, strict=True):
+            assert a == made.spans[k][0] + len("### assistant: ") and b == made.spans[k][1] - len(" </turn>\n")
+            assert chat_format.unescape(made.text[a:b]) == text
+    boxed = lambda turns: "<s>" + "".join(f"[{r}]({t.upper()})[/{r}]" for r, t in turns)
+    for text in [*markup, "[/assistant]", ")", "("]:
+        made = chat_format.format_turns([("assistant", text), ("user", "x"), ("assistant", text)], boxed)
+        assert [made.text[a:b] for a, b in made.loss] == [text.upper()] * 2
+        assert [a - made.spans[k][0] for k, (a, _) in zip((0, 2), made.loss, strict=True)] == [len("[assistant](")] * 2
+
+
+def last_only(turns):
+    return "".join(f"[{r}]{t if k == len(turns) - 1 else '...'}" for k, (r, t) in enumerate(turns))
+
+
+def test_template_that_rewrites_history_is_found(spark):
+    made = chat_format.format_turns([("user", "a"), ("assistant", "b")], last_only)
+    assert (made.rewrites, made.spans, made.loss, made.text) == (1, [], [], "[user]...[assistant]b")
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat_format.format_conversations(df, chat_format.Chat(last_only, None, str), with_text=True).collect()}
+    assert (found[1].rewrites_turn, found[1].loss_chars, found[1].turns_sha256, found[1].n_turns) == (1, 0, None, 2)
+    assert (found[2].rewrites_turn, found[2].loss_chars, found[2].formatted) == (None, 4, "[assistant]only")
+    with pytest.raises(ValueError, match="twice"):
+        chat_format.format_turns([("assistant", "b")], lambda turns: "".join(f"{t}|{t};" for _, t in turns))
 
 
 def test_odd_conversations(spark):
     rows = [(1, 2, "user", "b"), (1, None, None, None), (1, 2, "assistant", "a"), (1, 2, "user", "b"), (None, 1, "user", "x"), (None, 0, "assistant", "y"), (2, 1, "system", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "id": F.lit(2)})
-    found = {r.conv_id: r for r in chat_format.format_conversations(df, with_text=True).collect()}
+    made = chat_format.format_conversations(df, with_text=True).collect()
+    found = {r.conv_id: r for r in made}
     assert chat_format.parse(found[1].formatted) == [("", ""), ("assistant", "a"), ("user", "b"), ("user", "b")]
-    assert chat_format.parse(found[None].formatted) == [("assistant", "y"), ("user", "x")]
+    assert sorted(chat_format.parse(r.formatted) for r in made if r.conv_id is None) == [[("assistant", "y")], [("user", "x")]]
     assert found[2].loss_chars == 0 and found[2].n_turns == 1
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 

@@ -16,13 +16,13 @@ from ._store import written
 #: Base rules: fewest words, and most repeated words in a hundred.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: A sketch bucket spans this ratio, so a quantile is off by at most half of it.
-GAMMA = 1.04
-#: A threshold is q75 + FENCE * (q75 - q25), and never below the feature's floor (in thousandths).
-FENCE = 3.0
-#: Features in thousandths of their base, with the floor below which no text is rejected.
-FLOORS = {"symbols": 30, "dup_lines": 400, "repeats": 300, "upper": 300, "word_length": 9000}
+GAMMA = 1.005
+#: Spreads of the group between its middle and a threshold.
+FENCE = 16
+#: Features in thousandths of their base; where a low value is as odd as a high one, the group sets a lower threshold too.
+BOTH_SIDES = ("word_length",)
 #: Fewest texts for a sketch of a language and source to stand alone; smaller groups use the language's, then the corpus's.
-MIN_GROUP = 200
+MIN_GROUP = 50
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -112,29 +112,41 @@ def merged(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return sketch.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
 
 
+#: Quantiles, in hundredths, that a sketch is asked for.
+_QUANTILES = (25, 50, 90, 99)
+#: A threshold from quantiles: so many spreads above the median, the spread being that from the lower quartile to the median,
+#: or, where that is nothing, above the quantile that is first beyond the median, the spread being its distance.
+_HIGH = f"case when q50 > q25 then q50 + {FENCE} * (q50 - q25) when q90 > q50 then q90 + {FENCE} * (q90 - q50) else q99 + {FENCE} * (q99 - q50) end"
+_LOW = f"case when q50 > q25 then q50 - {FENCE} * (q50 - q25) end"
+
+
 def thresholds(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``by, texts`` and a column t_<feature> for each feature, from the quartiles of the group's sketch."""
+    """``by, texts``, a column t_<feature> for each feature and b_<feature> for those of ``BOTH_SIDES``, from the group's sketch."""
     group = Window.partitionBy(*by, "feature")
     running = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     placed = sketch.select(*by, "feature", "bucket", running.alias("upto"), F.sum("n").over(group).alias("texts"))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("texts") * q, F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))))
-    quartiles = placed.groupBy(*by, "feature").agg(F.first("texts").alias("texts"), at(0.25).alias("low"), at(0.75).alias("high"))
-    fence = F.col("high") + FENCE * (F.col("high") - F.col("low"))
-    return quartiles.groupBy(*by).agg(F.first("texts").alias("texts"), *(F.max(F.when(F.col("feature") == k, F.greatest(fence, F.lit(float(v))))).alias(f"t_{k}") for k, v in FLOORS.items()))
+    value = F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 0.5))
+    at = (F.min(F.when(F.col("upto") * 100 >= F.col("texts") * q, value)).alias(f"q{q}") for q in _QUANTILES)
+    fences = placed.groupBy(*by, "feature").agg(F.first("texts").alias("texts"), *at).select(*by, "feature", "texts", F.expr(_HIGH).alias("high"), F.expr(_LOW).alias("low"))
+    pick = lambda side, k: F.max(F.when(F.col("feature") == k, F.col(side)))
+    return fences.groupBy(*by).agg(F.first("texts").alias("texts"), *(pick("high", k).alias(f"t_{k}") for k in _FEATURES), *(pick("low", k).alias(f"b_{k}") for k in BOTH_SIDES))
 
 
 def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for every row of
     ``docs(doc_id, text, lang, source)``.
 
-    A text fails where a feature is above the threshold of its language and source. A group of fewer than ``min_group``
-    texts takes the threshold of its language, or, if that is as small, of the corpus; null lang and null source are groups
-    like others. The base rules hold besides. A null text has no words and fails them. Repeated rows count each time.
+    A text that passes the base rules fails where a feature is beyond a threshold of its language and source, which are taken from the
+    quantiles of that group's texts that pass them. A group of fewer than ``min_group`` such texts takes the thresholds of its
+    language, or, if those are as few, of the corpus; null lang and null source are groups like others. A null or empty
+    text has no words and fails the base rules; a long text is counted whole. Repeated rows count each time; an empty table gives an empty
+    result; other columns are not read.
     """
     counted = written(measure(docs), "counts")
-    features = counted.select("doc_id", F.coalesce("lang", F.lit("\0")).alias("g_lang"), F.coalesce("source", F.lit("\0")).alias("g_source"), *_COUNTS, *(F.expr(e).alias(k) for k, e in _FEATURES.items()))
-    fine = written(sketches(features, ("g_lang", "g_source")), "sketches")
-    names = [f"t_{k}" for k in FLOORS]
+    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")
+    features = counted.select("doc_id", F.coalesce("lang", F.lit("\0")).alias("g_lang"), F.coalesce("source", F.lit("\0")).alias("g_source"), *_COUNTS, failed.alias("base_failed"), *(F.expr(e).alias(k) for k, e in _FEATURES.items()))
+    fine = written(sketches(features.filter("not base_failed"), ("g_lang", "g_source")), "sketches")
+    names = [*(f"t_{k}" for k in _FEATURES), *(f"b_{k}" for k in BOTH_SIDES)]
     own = thresholds(fine, ("g_lang", "g_source"))
     lang = thresholds(merged(fine, ("g_lang",)), ("g_lang",)).toDF("g_lang", "lang_texts", *(f"lang_{n}" for n in names))
     every = thresholds(merged(fine.withColumn("all", F.lit(0)), ("all",)), ("all",)).drop("texts").toDF("all", *(f"all_{n}" for n in names))
@@ -142,11 +154,11 @@ def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
     use = lambda n: F.when(F.col("texts") >= min_group, F.col(n)).when(F.col("lang_texts") >= min_group, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
     group = group.select("g_lang", "g_source", *(use(n).alias(n) for n in names))
     judged = features.join(group, ["g_lang", "g_source"], "left")
-    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words")
-    over = F.lit(False)
-    for k in FLOORS:
-        over = over | F.coalesce(F.col(k) > F.col(f"t_{k}"), F.lit(False))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+    beyond = [F.col(k) > F.col(f"t_{k}") for k in _FEATURES] + [F.col(k) < F.col(f"b_{k}") for k in BOTH_SIDES]
+    out = F.lit(False)
+    for b in beyond:
+        out = out | F.coalesce(b, F.lit(False))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~out).alias("kept"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,18 +166,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    word, names = r"'[^\x20\x09-\x0D]+'", list(FLOORS)
+    word, names = r"'[^\x20\x09-\x0D]+'", list(_FEATURES)
     sketch = lambda by: f"SELECT {by}feature, CASE WHEN value <= 0 THEN -1 ELSE ceil(ln(value) / ln({GAMMA})) END AS bucket, count(*) AS n FROM v GROUP BY ALL"
 
     def fences(by: str) -> str:
         group = f"PARTITION BY {by}feature"
         placed = f"SELECT *, sum(n) OVER ({group} ORDER BY bucket) AS upto, sum(n) OVER ({group}) AS texts FROM ({sketch(by)})"
-        at = lambda q: f"min(CASE WHEN bucket < 0 THEN 0 ELSE pow({GAMMA}, bucket - 0.5) END) FILTER (upto >= texts * {q})"
-        quartiles = f"SELECT {by}feature, max(texts) AS texts, {at(0.25)} AS low, {at(0.75)} AS high FROM ({placed}) GROUP BY ALL"
-        each = ", ".join(f"max(greatest(high + {FENCE} * (high - low), {v})) FILTER (feature = '{k}') AS t_{k}" for k, v in FLOORS.items())
-        return f"SELECT {by}max(texts) AS texts, {each} FROM ({quartiles}) GROUP BY ALL"
-
-    pick = lambda k: f"CASE WHEN o.texts >= {MIN_GROUP} THEN o.t_{k} WHEN l.texts >= {MIN_GROUP} THEN l.t_{k} ELSE a.t_{k} END"
+        value = f"CASE WHEN bucket < 0 THEN 0 ELSE pow({GAMMA}, bucket - 0.5) END"
+        at = ", ".join(f"min({value}) FILTER (upto * 100 >= texts * {q}) AS q{q}" for q in (25, 50, 90, 99))
+        quantiles = f"SELECT {by}feature, max(texts) AS texts, {at} FROM ({placed}) GROUP BY ALL"
+        high = "CASE WHEN q50 > q25 THEN q50 + 16 * (q50 - q25) WHEN q90 > q50 THEN q90 + 16 * (q90 - q50) ELSE q99 + 16 * (q99 - q50) END"
+        low = "CASE WHEN q50 > q25 THEN q50 - 16 * (q50 - q25) END"
+        each = ", ".join(f"max({high}) FILTER (feature = '{k}') AS t_{k}" for k in names)
+        return f"SELECT {by}max(texts) AS texts, {each}, max({low}) FILTER (feature = 'word_length') AS b_word_length FROM ({quantiles}) GROUP BY ALL"
+
+    pick = lambda c: f"CASE WHEN o.texts >= 50 THEN o.{c} WHEN l.texts >= 50 THEN l.{c} ELSE a.{c} END"
     values = ", ".join(f"{_FEATURES[k].replace(' div ', ' // ')} AS {k}" for k in names)
     return f"""
 WITH t AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, chr(1)) AS g_lang, coalesce(source, chr(1)) AS g_source, coalesce(text, '') AS x FROM documents),
@@ -176,10 +191,11 @@ lin AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
 c AS MATERIALIZED (SELECT id, doc_id, g_lang, g_source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(x, '[A-Z]')) AS n_upper,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (id) LEFT JOIN lin USING (id)),
 f AS MATERIALIZED (SELECT *, {values}, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM c),
-v AS MATERIALIZED (FROM (SELECT g_lang, g_source, {", ".join(names)} FROM f) UNPIVOT (value FOR feature IN ({", ".join(names)}))),
+v AS MATERIALIZED (FROM (SELECT g_lang, g_source, {", ".join(names)} FROM f WHERE NOT base_failed) UNPIVOT (value FOR feature IN ({", ".join(names)}))),
 o AS ({fences("g_lang, g_source, ")}), l AS ({fences("g_lang, ")}), a AS ({fences("")})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"f.{k} <= {pick(k)}" for k in names)} AS kept
-FROM f JOIN o USING (g_lang, g_source) JOIN l USING (g_lang), a"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(f"f.{k} <= {pick(f't_{k}')}" for k in names)} AND coalesce(f.word_length >= {pick("b_word_length")}, true) AS kept
+FROM f LEFT JOIN o USING (g_lang, g_source) LEFT JOIN l USING (g_lang), a"""
 
 
 ORACLE = _oracle()

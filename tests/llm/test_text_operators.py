@@ -52,13 +52,30 @@ def test_quality_thresholds_adapt_to_their_group(spark):
     assert kept == {r[0] for r in plain + marked}
 
 
+def test_quality_thresholds_decide_rows_of_the_tables(spark):
+    """On sf0.1: thresholds differ between languages and between sources, and reject texts that the base rules keep."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = quality.measure(docs).filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
+    features = measured.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.expr(e).alias(k) for k, e in quality._FEATURES.items()))
+    sketch = quality.sketches(features, ("g_lang", "g_source"))
+    for by in (("g_lang",), ("g_lang", "g_source")):
+        highs = [r.t_word_length for r in quality.thresholds(quality.merged(sketch, by), by).collect()]
+        assert len(set(highs)) > 0.5 * len(highs) > 1
+    values = sorted(r[0] for r in features.filter("g_lang = 'en'").select("word_length").collect())
+    en = quality.thresholds(quality.merged(sketch, ("g_lang",)), ("g_lang",)).filter("g_lang = 'en'").first()
+    q25, q50 = (values[-(-len(values) * q // 100) - 1] for q in (25, 50))
+    assert abs(en.t_word_length - (q50 + quality.FENCE * (q50 - q25))) < 2 * quality.FENCE * 0.0025 * q50
+    judged = quality.judge(docs).filter("not base_failed")
+    assert 0 < judged.filter("not kept").count() < 0.1 * judged.count()
+
+
 def test_sketches_merge_to_the_whole(spark):
-    df = spark.range(1000).select((F.col("id") % 2).alias("g"), *(F.col("id").alias(k) for k in quality.FLOORS))
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), *(F.col("id").alias(k) for k in quality._FEATURES))
     parts = quality.merged(quality.sketches(df, ("g",)).withColumn("all", F.lit(0)), ("all",))
     whole = quality.sketches(df.withColumn("all", F.lit(0)), ("all",))
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
     high = quality.thresholds(whole, ("all",)).first()["t_symbols"]
-    assert abs(high - (750 + 3 * 500)) < 0.05 * high
+    assert abs(high - (500 + quality.FENCE * 250)) < 0.05 * high
 
 
 # Language

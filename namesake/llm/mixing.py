@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import discard, written
@@ -11,10 +13,9 @@ from ._store import discard, written
 FLATTEN = 0.7
 #: Share of all tokens that the sample holds in expectation.
 KEEP = 0.8
-ROUNDS, ROUNDS_A_JOB = 16, 4
+#: Raking ends when no margin is off by more than this share of its target, or, with a warning, after so many rounds.
+TOLERANCE, ROUNDS = 1e-9, 500
 SEED = 17
-#: Cells up to which the table of factors is broadcast to the documents; beyond, the join is left to the optimiser.
-BROADCAST_CELLS = 50_000
 MARGINS = ("source", "lang", "topic")
 #: Topics by the first pattern that the text holds, in order.
 TOPICS = (("legal", r"(?i)licen[sc]e|copyright|all rights reserved"), ("contact", r"[A-Za-z0-9._]+@[A-Za-z0-9]|\+[0-9]+ \([0-9]"), ("table", r" \| [^|]* \| "), ("web", r"https?://|www\."))
@@ -31,7 +32,7 @@ def topic_of(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, text, source, lang, topic and n_tokens of every row; a missing category is a category of its own."""
+    """doc_id, text, source, lang, topic, n_tokens and draw of every row; a missing category is a category of its own."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -40,80 +41,99 @@ def described(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)).alias("lang"),
         topic_of(text).alias("topic"),
         F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"),
+        uniform(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text.cast("binary")))).alias("draw"),
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, flatten: float = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
+def uniform(name: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) for each name, the same in every run."""
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, flatten: float = FLATTEN, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """``source, lang, topic, tokens, weight``: weights of the cells with the targets as their margins.
 
-    ``targets`` maps a margin to a table (its name, share); a margin without one gets the observed shares to the power of
-    ``flatten``. A round scales the weights to each margin's shares in turn. Cells are few against documents: a
-    round moves no more than the table of cells, sums by margin being windows over it. Cells without tokens stay 0.
+    ``targets`` maps a margin to a table (its name, share), shares being scaled to those names that there are; a margin without one gets the
+    observed shares to the power of ``flatten``. A weight is the cell's tokens times a factor of each margin. A round
+    sets the factors of each margin in turn, so that its sums are the targets: sums are taken before the shuffle, and what moves
+    are the names of a margin, so neither a common name nor many cells meet in one task. Cells without tokens stay 0. Targets that
+    no weights meet (a source without share that alone has a language, say) end the rounds with a warning that says how far off they are.
     """
-    total = Window.partitionBy(F.lit(0))
-    fitted = cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("weight"))
+    table = cells.select(*MARGINS, "tokens")
     for m in MARGINS:
+        goal = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
         if targets and m in targets:
-            fitted = fitted.join(targets[m].select(m, F.col("share").alias(f"t_{m}")), m, "left").fillna(0.0, [f"t_{m}"])
+            goal = goal.join(targets[m].select(m, F.col("share").cast("double").alias("share")), m, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
         else:
-            share = cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("share"))
-            share = share.select(m, (F.col("share") / F.sum("share").over(total)).alias(f"t_{m}"))
-            fitted = fitted.join(share, m)
-    base = fitted = written(fitted, "raking")
-    for done in range(0, rounds, ROUNDS_A_JOB):
-        for _ in range(min(ROUNDS_A_JOB, rounds - done)):
-            for m in MARGINS:
-                have = F.sum("weight").over(Window.partitionBy(m))
-                fitted = fitted.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"t_{m}") / have).otherwise(0.0))
-        old, fitted = base, written(fitted, "raking")
-        base = fitted
+            goal = goal.withColumn("share", F.pow("have", F.lit(flatten)))
+        goal = goal.select(m, F.when(F.col("have") > 0, F.col("share")).otherwise(0.0).alias("share"))
+        whole = goal.agg(F.sum("share")).first()[0] or 1.0
+        table = table.join(goal.select(m, (F.col("share") / whole).alias(f"g_{m}")), m)
+    table = written(table, "goals")
+    one = [table.select(F.lit(m).alias("margin"), F.col(m).alias("name"), F.lit(1.0).alias("f")).distinct() for m in MARGINS]
+    factors = written(one[0].unionByName(one[1]).unionByName(one[2]), "factors")
+
+    def of(factors: DataFrame) -> dict[str, DataFrame]:
+        return {m: factors.filter(F.col("margin") == m).select(F.col("name").alias(m), F.col("f").alias(f"f_{m}")) for m in MARGINS}
+
+    def weighted(by: dict[str, DataFrame]) -> DataFrame:
+        joined, weight = table, F.col("tokens").cast("double")
+        for m, f in by.items():
+            joined, weight = joined.join(f, m), weight * F.col(f"f_{m}")
+        return joined.withColumn("weight", weight)
+
+    off = 0.0
+    for _ in range(rounds):
+        new = of(factors)
+        for m in MARGINS:
+            sums = weighted({o: f for o, f in new.items() if o != m}).groupBy(m).agg(F.max(f"g_{m}").alias("goal"), F.sum("weight").alias("have"))
+            new[m] = sums.select(m, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias(f"f_{m}"))
+        named = [f.select(F.lit(m).alias("margin"), F.col(m).alias("name"), F.col(f"f_{m}").alias("f")) for m, f in new.items()]
+        old, factors = factors, written(named[0].unionByName(named[1]).unionByName(named[2]), "factors")
+        moved = factors.join(old.withColumnRenamed("f", "was"), ["margin", "name"])
+        off = moved.agg(F.max(F.when(F.col("f") > 0, F.abs(F.col("was") / F.col("f") - 1)))).first()[0] or 0.0
         discard(old)
-    return fitted.select(*MARGINS, "tokens", "weight")
+        if off <= tolerance:
+            break
+    else:
+        warnings.warn(f"after {rounds} rounds a margin is off by {off:.3g} of its target", stacklevel=2)
+    fitted = written(weighted(of(factors)).select(*MARGINS, "tokens", "weight"), "raked")
+    discard(factors, table)
+    return fitted
 
 
 def calibrated(fitted: DataFrame, keep: float) -> DataFrame:
     """``fitted`` with ``probability``: min(1, c * weight / tokens), c such that the sample's expected tokens are ``keep``
-    of all. Found by fixing what is above 1 and sharing the rest anew; each step brings two sums to the driver."""
+    of all. Found by fixing what is above 1 and sharing the rest anew, until no more cells are fixed; each step brings four sums to the driver."""
     fitted = fitted.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    scale = 0.0
-    for _ in range(50):
+    scale, before = 0.0, -1
+    while True:
         sure = F.col("factor") * scale >= 1 if scale else F.lit(False)
-        total, fixed, rest = fitted.agg(F.sum("tokens"), F.sum(F.when(sure, F.col("tokens")).otherwise(0)), F.sum(F.when(sure, 0.0).otherwise(F.col("tokens") * F.col("factor")))).first()
-        if not total or not rest:
-            break
-        new = (keep * total - fixed) / rest
-        if abs(new - scale) <= 1e-12 * new:
+        sums = fitted.agg(F.sum("tokens"), F.sum(F.when(sure, F.col("tokens")).otherwise(0)), F.sum(F.when(sure, 0.0).otherwise(F.col("tokens") * F.col("factor"))), F.sum(sure.cast("long")))
+        total, fixed, rest, cells = sums.first()
+        if not total or not rest or cells == before:
             break
-        scale = new
+        scale, before = (keep * total - fixed) / rest, cells
     sampled = F.least(F.lit(1.0), F.col("factor") * scale)
     return fitted.select(*MARGINS, "weight", F.when(F.col("tokens") > 0, sampled).otherwise(1.0).alias("probability"))
 
 
-def uniform(seed: int = SEED) -> Column:
-    """A number in [0, 1) for each doc_id, the same in every run; null doc_ids share one."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-
-
 def mixed(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, with_text: bool = False) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, probability, sampled`` for every row of ``docs(doc_id, text, source, lang)``.
+    """``doc_id, source, lang, topic, n_tokens, probability, sampled`` (and ``text``) for every row of ``docs(doc_id, text, source, lang)``.
 
     Token weights of the cells source x language x topic are raked to the margins, and a row is sampled if a fixed random
-    number of its doc_id is below its cell's probability. Null sources and languages are categories of their own,
-    null again in the result; null texts have no tokens, and cells without tokens are kept whole, as they weigh nothing.
-    Repeated rows share their fate. An empty table gives an empty result.
+    number of its doc_id (of its text, without one) is below its cell's probability. Null sources and languages are categories of their
+    own, null again in the result; null and empty texts have no tokens, and cells without tokens are kept whole, as they weigh nothing.
+    Long texts count whole. Repeated rows share their fate. An empty table gives an empty result. Other columns are not read.
     """
     rows = described(docs)
-    if not with_text:
-        rows = written(rows.drop("text"), "described")  # texts are read and matched once
+    rows = written(rows if with_text else rows.drop("text"), "described")  # texts are read and matched once
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    table = written(calibrated(rake(cells, targets), keep), "factors")
-    if table.count() <= BROADCAST_CELLS:
-        table = F.broadcast(table)
-    out = rows.join(table, list(MARGINS)).select(
+    table = written(calibrated(rake(cells, targets), keep), "probabilities")
+    return rows.join(table, list(MARGINS)).select(
         "doc_id", *["text"] * with_text, F.nullif("source", F.lit(_NONE)).alias("source"), F.nullif("lang", F.lit(_NONE)).alias("lang"), "topic", "n_tokens", "probability",
-        (uniform() < F.col("probability")).alias("sampled"),
+        (F.col("draw") < F.col("probability")).alias("sampled"),
     )
-    return out
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +144,14 @@ def _oracle() -> str:
     topic = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in TOPICS) + " WHEN length(x) < 500 THEN 'brief' ELSE 'prose' END"
     keys = ", ".join(MARGINS)
     parts = [
-        f"rows_ AS MATERIALIZED (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(lang, chr(1)) AS lang, {topic} AS topic, len(regexp_extract_all(x, '{TOKEN}')) AS n_tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents))",
+        f"rows_ AS MATERIALIZED (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(x)) AS name, coalesce(source, chr(1)) AS source, coalesce(lang, chr(1)) AS lang, {topic} AS topic, len(regexp_extract_all(x, '{TOKEN}')) AS n_tokens FROM (SELECT *, coalesce(text, '') AS x FROM documents))",
         f"cells AS MATERIALIZED (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM rows_ GROUP BY ALL)",
     ]
     for m in MARGINS:
         parts.append(f"s_{m} AS (SELECT {m}, pow(sum(tokens), {FLATTEN}) AS share FROM cells GROUP BY 1), t_{m} AS MATERIALIZED (SELECT {m}, share / sum(share) OVER () AS t_{m} FROM s_{m})")
     parts.append("w0 AS MATERIALIZED (SELECT *, tokens AS weight FROM cells " + " ".join(f"JOIN t_{m} USING ({m})" for m in MARGINS) + ")")
     n = 0
-    for _ in range(ROUNDS):
+    for _ in range(40):  # enough to be as near on these tables
         for m in MARGINS:
             n += 1
             parts.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {m}) > 0 THEN weight * t_{m} / sum(weight) OVER (PARTITION BY {m}) ELSE 0 END AS weight) FROM w{n - 1})")
@@ -140,7 +160,7 @@ def _oracle() -> str:
     parts.append(f"o AS (SELECT factor, {KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY factor DESC, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_, sum(tokens * factor) OVER (ORDER BY factor DESC, {keys} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY factor DESC, {keys}) AS k FROM f)")
     parts.append("c AS (SELECT left_ / rest AS scale FROM o WHERE rest > 0 AND left_ / rest * factor < 1 ORDER BY k LIMIT 1)")
     p = "CASE WHEN tokens > 0 THEN least(1.0, factor * coalesce((SELECT scale FROM c), 0)) ELSE 1.0 END"
-    u = f"('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)!r}"
+    u = f"('0x' || substr(md5(name || ':{SEED}'), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)!r}"
     return f"WITH {', '.join(parts)} SELECT doc_id, nullif(source, chr(1)) AS source, nullif(lang, chr(1)) AS lang, topic, n_tokens, round({p}, 6) AS probability, {u} < {p} AS sampled FROM rows_ JOIN f USING ({keys})"
 
 

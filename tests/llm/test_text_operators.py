@@ -355,6 +355,13 @@ def test_raking_meets_its_targets(spark):
         assert have == pytest.approx(want, abs=1e-6)
 
 
+def test_raking_warns_where_targets_cannot_be_met(spark):
+    df = spark.createDataFrame([("a", "x", "p", 10.0), ("b", "y", "p", 10.0)], "source string, lang string, topic string, tokens double")
+    targets = {"source": spark.createDataFrame([("a", 0.8), ("b", 0.2)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="a margin is off"):
+        mixing.rake(df, targets, rounds=3)
+
+
 def test_sampled_tokens_are_as_many_as_asked(spark):
     out = mixing.op1_mixing(spark, "/root/testdata/sf0.01")
     expected, all_, kept, rows = out.agg(F.sum(F.col("n_tokens") * F.col("probability")), F.sum("n_tokens"), F.sum(F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)), F.count("*")).first()

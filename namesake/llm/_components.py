@@ -19,18 +19,18 @@ def components(links: DataFrame) -> DataFrame:
 
     A union-find whose forest is a table: a round hooks every node onto the least node among its neighbours (large star),
     then flattens the trees (small star), until the links are stars: no node hangs on two others, or on one that hangs itself.
-    Rounds grow as the logarithm of the longest path; no task sees more than the links of a task's own nodes, and sums are
-    taken before each shuffle.
+    Rounds grow as the logarithm of the longest path; sums are taken before each shuffle, and the links of one node, when joined,
+    may be split over tasks.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # a table, so that adaptive execution can split the links of one node
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
-        discard(old)
+        discard(old, least)
     roots = edges.select("v").distinct()
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
     labels = written(ends, "labels")

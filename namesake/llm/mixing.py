@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import discard, written
@@ -14,7 +14,9 @@ FLATTEN = 0.7
 #: Share of all tokens that the sample holds in expectation.
 KEEP = 0.8
 #: Raking ends when no margin is off by more than this share of its target, or, with a warning, after so many rounds.
-TOLERANCE, ROUNDS = 1e-9, 500
+TOLERANCE, ROUNDS, ROUNDS_A_JOB = 1e-9, 500, 4
+#: Cells, of some 100 bytes, up to which one task rakes them without a shuffle; more are shuffled by margin.
+ONE_TASK = 1_000_000
 SEED = 17
 MARGINS = ("source", "lang", "topic")
 #: Topics by the first pattern that the text holds, in order.
@@ -54,12 +56,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, flatt
     """``source, lang, topic, tokens, weight``: weights of the cells with the targets as their margins.
 
     ``targets`` maps a margin to a table (its name, share), shares being scaled to those names that there are; a margin without one gets the
-    observed shares to the power of ``flatten``. A weight is the cell's tokens times a factor of each margin. A round
-    sets the factors of each margin in turn, so that its sums are the targets: sums are taken before the shuffle, and what moves
-    are the names of a margin, so neither a common name nor many cells meet in one task. Cells without tokens stay 0. Targets that
+    observed shares to the power of ``flatten``. A round scales the weights to each margin's targets in turn. Up to ``ONE_TASK`` cells are
+    raked by one task, sums by margin being windows there. More are shuffled: sums are taken before the shuffle and joined back,
+    in tables, so that adaptive execution can split the cells of a common name. Cells without tokens stay 0. Targets that
     no weights meet (a source without share that alone has a language, say) end the rounds with a warning that says how far off they are.
     """
-    table = cells.select(*MARGINS, "tokens")
+    few = cells.count() <= ONE_TASK
+    fitted = cells.select(*MARGINS, "tokens", F.col("tokens").cast("double").alias("weight"), F.lit(0.0).alias("off"))
     for m in MARGINS:
         goal = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
         if targets and m in targets:
@@ -68,38 +71,35 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, *, flatt
             goal = goal.withColumn("share", F.pow("have", F.lit(flatten)))
         goal = goal.select(m, F.when(F.col("have") > 0, F.col("share")).otherwise(0.0).alias("share"))
         whole = goal.agg(F.sum("share")).first()[0] or 1.0
-        table = table.join(goal.select(m, (F.col("share") / whole).alias(f"g_{m}")), m)
-    table = written(table, "goals")
-    one = [table.select(F.lit(m).alias("margin"), F.col(m).alias("name"), F.lit(1.0).alias("f")).distinct() for m in MARGINS]
-    factors = written(one[0].unionByName(one[1]).unionByName(one[2]), "factors")
-
-    def of(factors: DataFrame) -> dict[str, DataFrame]:
-        return {m: factors.filter(F.col("margin") == m).select(F.col("name").alias(m), F.col("f").alias(f"f_{m}")) for m in MARGINS}
-
-    def weighted(by: dict[str, DataFrame]) -> DataFrame:
-        joined, weight = table, F.col("tokens").cast("double")
-        for m, f in by.items():
-            joined, weight = joined.join(f, m), weight * F.col(f"f_{m}")
-        return joined.withColumn("weight", weight)
-
-    off = 0.0
-    for _ in range(rounds):
-        new = of(factors)
-        for m in MARGINS:
-            sums = weighted({o: f for o, f in new.items() if o != m}).groupBy(m).agg(F.max(f"g_{m}").alias("goal"), F.sum("weight").alias("have"))
-            new[m] = sums.select(m, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias(f"f_{m}"))
-        named = [f.select(F.lit(m).alias("margin"), F.col(m).alias("name"), F.col(f"f_{m}").alias("f")) for m, f in new.items()]
-        old, factors = factors, written(named[0].unionByName(named[1]).unionByName(named[2]), "factors")
-        moved = factors.join(old.withColumnRenamed("f", "was"), ["margin", "name"])
-        off = moved.agg(F.max(F.when(F.col("f") > 0, F.abs(F.col("was") / F.col("f") - 1)))).first()[0] or 0.0
+        fitted = fitted.join(goal.select(m, (F.col("share") / whole).alias(f"g_{m}")), m)
+    fitted = written(fitted.coalesce(1) if few else fitted, "raking")
+
+    def scaled(fitted: DataFrame, m: str) -> DataFrame:
+        if few:
+            summed = fitted.withColumn("have", F.sum("weight").over(Window.partitionBy(m)))
+        else:
+            summed = fitted.join(written(fitted.groupBy(m).agg(F.sum("weight").alias("have")), "sums"), m)
+        some = (F.col("have") > 0) & (F.col(f"g_{m}") > 0)
+        off = F.greatest("off", F.when(some, F.abs(F.col("have") / F.col(f"g_{m}") - 1)).otherwise(0.0))
+        summed = summed.withColumns({"weight": F.when(some, F.col("weight") * F.col(f"g_{m}") / F.col("have")).otherwise(0.0), "off": off}).drop("have")
+        return summed if few else written(summed, "raking")
+
+    off, done = 0.0, 0
+    while done < rounds:
+        old, fitted = fitted, fitted.coalesce(1) if few else fitted
+        for _ in range(ROUNDS_A_JOB if few else 1):
+            fitted = fitted.withColumn("off", F.lit(0.0))
+            for m in MARGINS:
+                fitted = scaled(fitted, m)
+            done += 1
+        fitted = written(fitted, "raking") if few else fitted
         discard(old)
+        off = fitted.agg(F.max("off")).first()[0] or 0.0
         if off <= tolerance:
             break
     else:
-        warnings.warn(f"after {rounds} rounds a margin is off by {off:.3g} of its target", stacklevel=2)
-    fitted = written(weighted(of(factors)).select(*MARGINS, "tokens", "weight"), "raked")
-    discard(factors, table)
-    return fitted
+        warnings.warn(f"after {done} rounds a margin is off by {off:.3g} of its target", stacklevel=2)
+    return fitted.select(*MARGINS, "tokens", "weight")
 
 
 def calibrated(fitted: DataFrame, keep: float) -> DataFrame:

@@ -344,7 +344,9 @@ def test_odd_conversations(spark):
 # Mixing
 
 
-def test_raking_meets_its_targets(spark):
+@pytest.mark.parametrize("cells_in_one_task", [0, 1000])
+def test_raking_meets_its_targets(spark, monkeypatch, cells_in_one_task):
+    monkeypatch.setattr(mixing, "ONE_TASK", cells_in_one_task)
     cells = [(s, l, t, float(10 * (i + 1) * (j + 2) + 7 * k)) for i, s in enumerate("ab") for j, l in enumerate("xyz") for k, t in enumerate("pq")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
     targets = {"source": spark.createDataFrame([("a", 0.8), ("b", 0.2)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.5), ("y", 0.3), ("z", 0.2)], "lang string, share double")}

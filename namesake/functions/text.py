@@ -64,10 +64,10 @@ def soundex_number(name: Column | str) -> Column:
 
 
 def parse_author(author: Column | str) -> Column:
-    """Struct last_name, fn_initial, mn_initial of "<last name> <initials>"; a single word is a last name with null initials."""
+    """Struct last_name, fn_initial, mn_initial of "<last name> <initials>"; what does not end in a word of letters, digits and underscores behind a blank is a last name with null initials."""
     full = F.trim(_column(author))
-    last = F.nullif(F.regexp_extract(full, r"^(.*)\s+\S+$", 1), F.lit(""))
-    initials = F.nullif(F.regexp_extract(full, r"\s(\S+)$", 1), F.lit(""))
+    last = F.nullif(F.regexp_extract(full, r"^(.*)\s+[\p{L}\p{N}_]+$", 1), F.lit(""))
+    initials = F.nullif(F.regexp_extract(full, r"\s([\p{L}\p{N}_]+)$", 1), F.lit(""))
     single = last.isNull()
     return F.when(full.isNotNull(), F.struct(
         F.when(single, full).otherwise(F.trim(last)).alias("last_name"),

@@ -44,6 +44,15 @@ def fit(training: DataFrame, method: str = "logistic", features: tuple[str, ...]
     return Pipeline(stages=[_assembler(features), estimator(method, **options)]).fit(rows)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Writes a fitted model in place of what is at ``path``, a URI that the driver and all executors see."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score(model: PipelineModel, rows: DataFrame, features: tuple[str, ...] = FEATURES) -> DataFrame:
     """``rows`` with ``p``, the probability of the same author; null where a feature is null."""
     whole = rows.dropna(subset=list(features))

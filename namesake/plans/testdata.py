@@ -68,7 +68,7 @@ def clean_duckdb(x: str) -> str:
 VIEWS = {
     "articles": "SELECT doc_id AS id, doc_id % 50 AS processid, text AS title, '10.' || doc_id AS doi, 1990 + n_chars % 30 AS year FROM documents",
     "raw_signatures": "SELECT conv_id AS id, turn AS d, regexp_extract(text, '([A-Za-z]+)', 1) || ' ' || upper(substr(role, 1, 2)) AS author FROM conversations",
-    "parts_": "SELECT id, d, author, nullif(regexp_extract(trim(author), '^(.*)[ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]+$', 1), '') AS l, nullif(regexp_extract(trim(author), '[ \\t\\n\\x0B\\f\\r]([^ \\t\\n\\x0B\\f\\r]+)$', 1), '') AS i FROM raw_signatures",
+    "parts_": "SELECT id, d, author, nullif(regexp_extract(trim(author), '^(.*)[ \\t\\n\\x0B\\f\\r]+[\\pL\\pN_]+$', 1), '') AS l, nullif(regexp_extract(trim(author), '[ \\t\\n\\x0B\\f\\r]([\\pL\\pN_]+)$', 1), '') AS i FROM raw_signatures",
     "named": "SELECT id, d, author, CASE WHEN l IS NULL THEN trim(author) ELSE trim(l) END AS last_name, CASE WHEN l IS NOT NULL THEN substr(i, 1, 1) END AS fn_initial, CASE WHEN l IS NOT NULL THEN substr(i, 2, 1) END AS mn_initial FROM parts_",
     "signatures": f"SELECT *, {metaphone_duckdb('last_name')} AS focus_name FROM named",
     "order_parts": "SELECT l_orderkey AS id, p_name, p_type, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey",

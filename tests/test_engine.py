@@ -36,7 +36,7 @@ def test_whole_field_and_last_name(spark):
     assert one(spark, "de Dinéchin-O'Neil ß", clean_last_name) == "DEDINECHINONEILSS"
 
 
-@pytest.mark.parametrize(("author", "parts"), [("de Dinechin BD", ("de Dinechin", "B", "D")), ("Walker J", ("Walker", "J", "")), ("Plato", ("Plato", None, None)), ("  Jones   MW ", ("Jones", "M", "W"))])
+@pytest.mark.parametrize(("author", "parts"), [("de Dinechin BD", ("de Dinechin", "B", "D")), ("Walker J", ("Walker", "J", "")), ("Plato", ("Plato", None, None)), ("Jones J-M", ("Jones J-M", None, None)), ("  Jones   MW ", ("Jones", "M", "W"))])
 def test_author(spark, author, parts):
     assert tuple(one(spark, author, parse_author)) == parts
     assert one(spark, None, parse_author) is None
@@ -229,6 +229,41 @@ def test_replace_reads_and_writes_one_path(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_tables_are_created_filled_and_emptied(spark, tmp_path):
+    root = str(tmp_path / "db")
+    kinds = {"distances": "id1 int, id2 int, dist double, focus_name string", "lda_topic": schema.SCHEMAS["lda_topic"]}
+    store.create(spark, root, kinds, {"distances": ("focus_name",)})
+    read = lambda name: spark.read.schema(kinds[name]).parquet(f"{root}/{name}")
+    assert read("distances").count() == read("lda_topic").count() == 0
+    rows = spark.createDataFrame([(1, 2, 0.5, "A"), (1, 3, 0.25, "B/C"), (4, 5, 0.1, None)], "id2 long, id1 long, dist double, focus_name string")
+    store.append(rows, f"{root}/distances", kinds["distances"], ("focus_name",))
+    store.append(rows.select("id1", "id2").limit(1), f"{root}/distances", kinds["distances"], ("focus_name",))
+    assert sorted(map(repr, map(tuple, read("distances").collect()))) == sorted(map(repr, [(2, 1, 0.5, "A"), (3, 1, 0.25, "B/C"), (5, 4, 0.1, None), (2, 1, None, None)]))
+    with pytest.raises(ValueError, match="nosuch"):
+        store.append(rows.withColumn("nosuch", F.lit(1)), f"{root}/distances", kinds["distances"], ("focus_name",))
+    store.delete_partitions(spark, f"{root}/distances", "focus_name", spark.createDataFrame([("B/C",), ("none such",)], "v string"))
+    assert sorted(r.dist for r in read("distances").dropna().collect()) == [0.5]
+    store.delete_partitions(spark, f"{root}/distances", "focus_name", spark.createDataFrame([(None,)], "v string"))
+    assert read("distances").count() == 1
+    store.truncate(spark, f"{root}/distances", kinds["distances"])
+    assert read("distances").count() == 0
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from namesake.plans import classify
+
+    rng = np.random.default_rng(1)
+    values = rng.random((200, len(features.FEATURES)))
+    rows = [(i, 0, i + 1, 0, "k", *map(float, v), int(v[0] > 0.5)) for i, v in enumerate(values)]
+    names = ["id1", "d1", "id2", "d2", "focus_name", *features.FEATURES, "same_author"]
+    df = spark.createDataFrame(rows, names)
+    for method, options in (("svm", {}), ("forest", {"trees": 5})):
+        model = classify.fit(df, method, **options)
+        classify.save(model, str(tmp_path / "m"))
+        again = classify.load(str(tmp_path / "m"))
+        assert sorted(map(tuple, classify.predict(again, df).collect())) == sorted(map(tuple, classify.predict(model, df).collect()))
+
+
 def test_key_check(spark):
     df = spark.createDataFrame([(1, 0), (1, 0), (None, 0)], "id int, d int")
     with pytest.raises(ValueError, match="repeats"):

@@ -13,7 +13,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, which becomes their lang; what is undetermined goes, and what shares no n-gram with a learned language beyond chance."""
+    """Documents with a language, which becomes their lang; what is undetermined goes, and what shares no n-gram with a learned language beyond chance.
+
+    Null, empty and letterless texts are undetermined and go. Long texts are read whole; repeated rows and rows without doc_id are judged
+    like others; an empty table, or one without labels, gives an empty result. Other columns are not passed on.
+    """
     docs = docs.select(*COLUMNS)
     found = language_id.identify(docs, language_id.learn(docs), carry=COLUMNS)
     return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -36,18 +40,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that also stand elsewhere."""
+    """All documents, without the passages of 200 bytes or more that also stand elsewhere.
+
+    A null text comes back empty, a text that is all repeats too; a row that is there twice loses what both hold. Rows without
+    doc_id are cut like others, long texts whole; an empty table gives an empty result. Other columns are not passed on.
+    """
     cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose tokens are mixed to the target weights."""
+    """A sample of documents whose tokens are mixed to the target weights.
+
+    Null sources and languages are groups like others; texts without tokens stay. Repeated rows stay or go together, rows without doc_id by
+    their texts. Long texts count whole; an empty table gives an empty result. Other columns are not passed on.
+    """
     return mixing.mixed(docs.select(*COLUMNS), with_text=True).filter("sampled").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document; none for a null or empty text.
+
+    Rows stand alone, repeated or without doc_id; long texts are encoded whole; an empty table gives an empty result.
+    """
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 

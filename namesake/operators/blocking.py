@@ -43,10 +43,14 @@ def article_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def rule_matches(signatures: DataFrame, subjects: DataFrame) -> DataFrame:
-    """``id1, d1, id2, d2``: same key, different articles, a subject in common, and initials that do not contradict."""
-    s = signatures.join(subjects, "id").select("id", "d", "focus_name", "fn_initial", "mn_initial", "subject")
+    """``id1, d1, id2, d2``: same key, different articles, a subject in common, and initials that do not contradict.
+
+    An article's subjects travel as one array, so two articles with several subjects in common meet once.
+    """
+    of = subjects.groupBy("id").agg(F.collect_set("subject").alias("subjects"))
+    s = signatures.select("id", "d", "focus_name", "fn_initial", "mn_initial").distinct().join(of, "id")
     a, b = s.alias("a"), s.alias("b")
-    same = (F.col("a.focus_name") == F.col("b.focus_name")) & (F.col("a.subject") == F.col("b.subject")) & (F.col("a.id") != F.col("b.id"))
+    same = (F.col("a.focus_name") == F.col("b.focus_name")) & (F.col("a.id") != F.col("b.id")) & F.arrays_overlap("a.subjects", "b.subjects")
     agree = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) | F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == "")
     found = a.join(b, same & agree("fn_initial") & agree("mn_initial"))
     return found.select(F.col("a.id").alias("id1"), F.col("a.d").alias("d1"), F.col("b.id").alias("id2"), F.col("b.d").alias("d2")).distinct()

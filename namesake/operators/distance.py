@@ -60,3 +60,16 @@ def class_vector_distance(a: Column, b: Column, classes: tuple[str, ...]) -> Col
     """Distance of two structs of 0/1 classes: with k of c equal, 1 - k / (2c - k); null if a side is null."""
     equal = sum((F.when(a[c] == b[c], 1).otherwise(0) for c in classes), F.lit(0))
     return F.when(a.isNotNull() & b.isNotNull(), 1 - equal / (2 * len(classes) - equal))
+
+
+def class_distances(pairs: DataFrame, signatures: DataFrame, vectors: DataFrame, classes: tuple[str, ...]) -> DataFrame:
+    """``last_name_1, last_name_2, dist`` for the distinct surnames that meet in ``pairs``; ``vectors`` holds last_name and the 0/1 ``classes``.
+
+    Names without a vector are left out, and of a name that is there twice the greatest vector counts.
+    """
+    names = signatures.select("id", "d", "last_name")
+    side = lambda k: names.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", "d")), F.col("last_name").alias(f"last_name_{k}"))
+    met = pairs.join(side(1), ["id1", "d1"]).join(side(2), ["id2", "d2"]).select("last_name_1", "last_name_2").distinct()
+    one = vectors.groupBy("last_name").agg(F.max(F.struct(*classes)).alias("v"))
+    both = met.join(one.toDF("last_name_1", "v1"), "last_name_1").join(one.toDF("last_name_2", "v2"), "last_name_2")
+    return both.select("last_name_1", "last_name_2", class_vector_distance(F.col("v1"), F.col("v2"), classes).alias("dist"))

@@ -53,14 +53,15 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc_nulls_last("f1"), "threshold").limit(1)
 
 
-def pairwise(clusters: DataFrame, found: str = "found", truth: str = "truth") -> DataFrame:
-    """Precision, recall, F1 over pairs in one cluster, from group sizes: no pair is formed. Null without any pair."""
-    two = lambda n: n * (n - 1) / 2
-    pairs = lambda *by: clusters.groupBy(*by).agg(F.count("*").alias("n")).agg(F.sum(two(F.col("n"))).alias("pairs"))
-    tagged = pairs(found, truth).select(F.lit("tp").alias("k"), "pairs").unionByName(pairs(found).select(F.lit("found").alias("k"), "pairs")).unionByName(pairs(truth).select(F.lit("truth").alias("k"), "pairs"))
-    one = tagged.agg(*(F.max(F.when(F.col("k") == k, F.col("pairs"))).alias(k) for k in ("tp", "found", "truth")))
+def pairwise(clusters: DataFrame, found: str = "found", truth: str = "truth", by: tuple[str, ...] = ()) -> DataFrame:
+    """Precision, recall, F1 over pairs in one cluster, for each ``by``, from group sizes: no pair is formed. Null without any pair."""
+    n = F.col("n")
+    both = clusters.groupBy(*by, found, truth).agg(F.count("*").alias("n"))
+    pairs = lambda k, *cols: both.groupBy(*by, *cols).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(n * (n - 1) / 2).alias("pairs")).select(F.lit(k).alias("k"), *by, "pairs")
+    tagged = pairs("tp", found, truth).unionByName(pairs("found", found)).unionByName(pairs("truth", truth))
+    one = tagged.groupBy(*by).agg(*(F.max(F.when(F.col("k") == k, F.col("pairs"))).alias(k) for k in ("tp", "found", "truth")))
     tp = F.col("tp")
-    return one.select(*_prf(tp, F.col("found") - tp, F.col("truth") - tp))
+    return one.select(*by, *_prf(tp, F.col("found") - tp, F.col("truth") - tp))
 
 
 def bcubed(clusters: DataFrame, found: str = "found", truth: str = "truth") -> DataFrame:

@@ -66,12 +66,16 @@ def pair_features(pairs: DataFrame, signatures: DataFrame, articles: DataFrame,
 
 
 def split_by_block(rows: DataFrame, key: str, share: float = 0.7) -> DataFrame:
-    """``key, cume, train``: the cumulative share of rows up to each key in order of keys; those below ``share`` train.
+    """``key, cume, train``: the cumulative share of rows up to each (text) key in order of keys; those below ``share`` train.
 
-    Rows are counted by key before the running sum, so the one ordered pass is over keys, not rows.
+    Rows are counted by key before the running sum. Keys are then summed within their first two characters, and only the totals of
+    these, whose number does not grow with the rows, pass through one ordered window. A null key is the first.
     """
-    counted = rows.groupBy(key).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    cume = counted.select(key, (upto / total).alias("cume"))
+    counted = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("_head", F.substring(key, 1, 2))
+    heads = counted.groupBy("_head").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select(F.col("_head").alias("_of"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    upto = F.sum("n").over(Window.partitionBy("_head").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    within = counted.select(key, "_head", upto.alias("_upto")).join(heads, F.col("_head").eqNullSafe(F.col("_of")))
+    cume = within.select(key, ((F.col("_before") + F.col("_upto")) / F.col("_all")).alias("cume"))
     return cume.withColumn("train", F.col("cume") < share)

@@ -194,6 +194,50 @@ def grouped_results(spark: SparkSession, d: str) -> DataFrame:
     return workflow.grouped_results(process_results(spark, d)).select("d1", F.size("related").cast("long").alias("n_related"))
 
 
+_ALL_FOUND = f"{_SCORED}, found AS (SELECT m.processid, d1, a.title, a.doi, author FROM (SELECT * FROM scored WHERE p >= {scoring.THRESHOLD}) f JOIN articles m ON m.id = f.id1 LEFT JOIN signatures s ON s.id = f.id2 AND s.d = f.d2 LEFT JOIN articles a ON a.id = f.id2)"
+
+
+@query("all_results", f"{_ALL_FOUND} SELECT processid, d1, md5(title) AS title, doi, author FROM found")
+def all_results(spark: SparkSession, d: str) -> DataFrame:
+    c = testdata.corpus(spark, d)
+    found = workflow.results(workflow.run_batch(c), c.signatures, c.articles, None, limit=None)
+    return found.withColumn("title", F.md5(F.col("title").cast("binary")))
+
+
+@query("all_grouped_results", f"{_ALL_FOUND}, g AS (SELECT processid, d1, count(*) AS n FROM found GROUP BY ALL) SELECT r.processid, r.d1, coalesce(n, 0) AS n_related FROM (SELECT processid, unnest(range(max(d1) + 1)) AS d1 FROM found GROUP BY 1) r LEFT JOIN g ON g.processid = r.processid AND g.d1 = r.d1")
+def all_grouped_results(spark: SparkSession, d: str) -> DataFrame:
+    return workflow.grouped_results(all_results(spark, d)).select("processid", "d1", F.size("related").cast("long").alias("n_related"))
+
+
+def _name_flag(k: int) -> str:
+    return f"(ascii(last_name) * 7 + length(last_name) * {k + 3} + {k}) % 3 = 0"
+
+
+def _vectors(s: DataFrame) -> DataFrame:
+    flags = (F.expr(f"CASE WHEN {_name_flag(k)} THEN 1 ELSE 0 END").alias(c) for k, c in enumerate(_CLASSES))
+    return s.select("last_name").distinct().filter("last_name <> ''").select("last_name", *flags)
+
+
+_NAME_VECTORS = "SELECT last_name, " + ", ".join(f"CASE WHEN {_name_flag(k)} THEN 1 ELSE 0 END AS {c}" for k, c in enumerate(_CLASSES)) + " FROM (SELECT DISTINCT last_name FROM signatures WHERE last_name <> '')"
+_NAME_DISTS = f"v AS ({_NAME_VECTORS}), met AS (SELECT DISTINCT x.last_name AS last_name_1, y.last_name AS last_name_2 FROM signatures x JOIN signatures y USING (focus_name) WHERE x.id <> y.id OR x.d <> y.d), cd AS (SELECT last_name_1, last_name_2, 1 - ({_SAME})::DOUBLE / (12 - ({_SAME})) AS dist FROM met JOIN v a ON a.last_name = last_name_1 JOIN v b ON b.last_name = last_name_2)"
+
+
+def _class_distances(c: workflow.Corpus) -> DataFrame:
+    return distance.class_distances(blocking.candidate_pairs(c.signatures, c.signatures), c.signatures, _vectors(c.signatures), _CLASSES)
+
+
+@query("surname_class_distances", f"WITH {_NAME_DISTS} SELECT last_name_1, last_name_2, round(dist, 9) AS dist FROM cd")
+def surname_class_distances(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_class_distances(testdata.corpus(spark, d)), "dist")
+
+
+@query("class_features", f"WITH {_NAME_DISTS} SELECT f.id1, f.d1, f.id2, f.d2, round(coalesce(dist, 1), 9) AS dist_ethnicity FROM features f JOIN signatures x ON x.id = f.id1 AND x.d = f.d1 JOIN signatures y ON y.id = f.id2 AND y.d = f.d2 LEFT JOIN cd ON last_name_1 = x.last_name AND last_name_2 = y.last_name")
+def class_features(spark: SparkSession, d: str) -> DataFrame:
+    c = testdata.corpus(spark, d)
+    c.classes = _class_distances(c)
+    return _rounded(workflow.batch_features(c).select("id1", "d1", "id2", "d2", "dist_ethnicity"), "dist_ethnicity")
+
+
 @query("signature_info", "SELECT s.id, s.d, s.focus_name, year, k.keywords, r.refs, u.subjects, c.coauthors FROM signatures s JOIN articles a USING (id) LEFT JOIN (SELECT id, string_agg(keyword, ':::' ORDER BY keyword) AS keywords FROM keywords GROUP BY 1) k USING (id) LEFT JOIN (SELECT id, string_agg(journal, ':::' ORDER BY journal) AS refs FROM references_ GROUP BY 1) r USING (id) LEFT JOIN (SELECT id, string_agg(subject, ':::' ORDER BY subject) AS subjects FROM subjects GROUP BY 1) u USING (id) LEFT JOIN (SELECT id, string_agg(focus_name, ':::' ORDER BY focus_name) AS coauthors FROM signatures GROUP BY 1) c USING (id)")
 def signature_info(spark: SparkSession, d: str) -> DataFrame:
     c = testdata.corpus(spark, d)
@@ -364,11 +408,28 @@ def cluster_cut_sweep(spark: SparkSession, d: str) -> DataFrame:
     return cuts.groupBy("cut").agg(F.countDistinct("focus_name", "cluster").alias("clusters"), F.count("*").alias("items"))
 
 
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    """A made-up truth: signatures of one name and one topic are one author's."""
+    s = testdata.signatures(spark, d).join(testdata.topics(spark, d), "id")
+    return s.select("id", "d", F.struct("last_name", "fn_initial", "topic").alias("author_id"))
+
+
+@query("cut_scores")
+def cut_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(cluster.scores_of_cuts(cluster.cut_sweep(workflow.run_batch(testdata.corpus(spark, d))), _truth(spark, d)), "precision", "recall", "f1")
+
+
+@query("cluster_author_ids")
+def cluster_author_ids(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("author_id"))
+    return cluster.author_ids(author_clusters(spark, d), known)
+
+
 @query("article_topics")
 def article_topics(spark: SparkSession, d: str) -> DataFrame:
     corpus = features.topic_corpus(testdata.articles(spark, d), testdata.keywords(spark, d))
     chosen = features.first_per_group(table(spark, d, "documents").select("source", F.col("doc_id").alias("id")), "source", "id", 27).select("id")
-    return topics.infer(corpus, topics.fit(corpus.join(chosen, "id", "left_semi"), iterations=5))
+    return topics.infer(corpus, topics.fit(corpus.join(chosen, "id", "left_semi")))
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
@@ -379,7 +440,7 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 @query("classified_pairs")
 def classified_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
-    model = classify.fit(rows, "boosting", rounds=10)
+    model = classify.fit(rows, "boosting")
     return classify.predict(model, rows)
 
 

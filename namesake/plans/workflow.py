@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import distance as D
 from ..operators.blocking import article_pairs, candidate_pairs
-from ..operators.features import pair_features
+from ..operators.features import pair_features, topic_corpus
 from ..operators.scoring import THRESHOLD, decided, logistic
+from . import classify, topics
 
 #: Coefficients of a plain pair score, for runs without a trained model.
 PLAIN = {"eq_fn_initial": 1.5, "eq_mn_initial": 0.8, "eq_lda_topic": 0.5, "diff_year": -0.05, "dist_keywords": -1.0, "dist_refs": -1.5, "dist_subject": -1.0, "dist_title": -1.2, "dist_coauthor": -2.0, "dist_ethnicity": -0.5}
@@ -82,18 +84,28 @@ def run_batch(c: Corpus, process_id: int | str | None = None, score: Column | No
     return decided(scored, "p", threshold).select("id1", "d1", "id2", "d2", "focus_name", "p", "same")
 
 
-def results(same: DataFrame, signatures: DataFrame, articles: DataFrame, process_id: int, limit: int | None = 500) -> DataFrame:
-    """``d1, title, doi, author``: for each author of a process's article the articles found to be theirs."""
-    mine = articles.filter(F.col("processid") == process_id).select(F.col("id").alias("id1"))
-    found = same.filter("same").join(mine, "id1")
+def run_trained(c: Corpus, model: PipelineModel, process_id: int | str | None = None, topic_model: tuple | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``run_batch`` with a trained pair model, after topics are inferred for articles that have none (if a topic model is given)."""
+    if topic_model is not None:
+        c = replace(c, topics=c.topics.select("id", "topic").unionByName(topics.infer(topic_corpus(c.articles, c.keywords), topic_model, known=c.topics)))
+    scored = classify.score(model, batch_features(c, process_id))
+    return decided(scored, "p", threshold).select("id1", "d1", "id2", "d2", "focus_name", "p", "same")
+
+
+def results(same: DataFrame, signatures: DataFrame, articles: DataFrame, process_id: int | None, limit: int | None = 500) -> DataFrame:
+    """``d1, title, doi, author``: for each author of a process's article the articles found to be theirs; of all processes with ``processid`` before, without a process id."""
+    mine = articles.select(F.col("id").alias("id1"), "processid")
+    keys = ["processid", "d1"] if process_id is None else ["d1"]
+    found = same.filter("same").join(mine if process_id is None else mine.filter(F.col("processid") == process_id), "id1")
     other = signatures.select(F.col("id").alias("id2"), F.col("d").alias("d2"), "author")
     named = found.join(other, ["id2", "d2"], "left").join(articles.select(F.col("id").alias("id2"), "title", "doi"), "id2", "left")
-    out = named.select("d1", "title", "doi", "author").orderBy("d1", "title", "doi", "author")
-    return out if limit is None else out.limit(limit)
+    out = named.select(*keys, "title", "doi", "author")
+    return out if limit is None else out.orderBy(*keys, "title", "doi", "author").limit(limit)
 
 
 def grouped_results(rows: DataFrame) -> DataFrame:
-    """``d1, related``: one row for each place from 0 to the largest, with an empty list where nothing was found."""
-    top = rows.agg(F.explode(F.sequence(F.lit(0), F.max("d1"))).alias("d1"))
-    lists = rows.groupBy("d1").agg(F.array_sort(F.collect_list(F.struct("title", "doi", "author"))).alias("related"))
-    return top.join(lists, "d1", "left").withColumn("related", F.coalesce("related", F.array().cast("array<struct<title:string,doi:string,author:string>>")))
+    """``d1, related`` (after ``processid``, if ``rows`` has it): one row for each place from 0 to the process's largest, with an empty list where nothing was found."""
+    keys = [k for k in ("processid",) if k in rows.columns]
+    top = rows.groupBy(*keys).agg(F.max("d1").alias("top")).select(*keys, F.explode(F.sequence(F.lit(0), "top")).alias("d1"))
+    lists = rows.groupBy(*keys, "d1").agg(F.array_sort(F.collect_list(F.struct("title", "doi", "author"))).alias("related"))
+    return top.join(lists, [*keys, "d1"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<struct<title:string,doi:string,author:string>>")))

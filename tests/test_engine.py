@@ -180,6 +180,60 @@ def test_clusters_of_blocks(spark):
     assert isinstance(sweep, pd.DataFrame) and sweep[sweep.cut == 0].groupby("focus_name").cluster.nunique().to_dict() == {"K": 3, "L": 2}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 9), st.integers(0, 10_000), st.floats(0.05, 0.95))
+def test_linkage_of_close_pairs_is_the_whole_one_below_the_cut(n, seed, cut):
+    rng = np.random.default_rng(seed)
+    d = np.round(rng.random((n, n)), 1)  # with ties
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    close = [(i, j, d[i, j]) for i in range(n) for j in range(i + 1, n) if d[i, j] <= cut]
+    whole, some = cluster.complete_linkage(d), cluster.linkage_of_pairs(n, close)
+    assert cluster.cut_tree(n, *whole, cut).tolist() == cluster.cut_tree(n, *some, cut).tolist()
+
+
+def test_empty_and_repeated_scores(spark):
+    schema = "id1 long, d1 int, id2 long, d2 int, focus_name string, p double"
+    empty = spark.createDataFrame([], schema)
+    assert cluster.clusters(empty).count() == 0 and cluster.cut_sweep(empty).count() == 0
+    rows = [(1, 0, 2, 0, "K", 0.9), (1, 0, 2, 0, "K", 0.9), (2, 0, 1, 0, "K", 0.1), (3, 0, 3, 1, None, 1.0), (4, 0, 5, 0, "K", 1.0)]
+    mean = {(r.focus_name, r.id, r.d): r.cluster for r in cluster.clusters(spark.createDataFrame(rows, schema), 0.3).collect()}
+    assert mean == {("K", 1, 0): 1, ("K", 2, 0): 2, ("K", 4, 0): 3, ("K", 5, 0): 3, (None, 3, 0): 1, (None, 3, 1): 1}
+    one = cluster.clusters(spark.createDataFrame(rows, schema), 1.0).filter("focus_name = 'K'").collect()
+    assert {r.cluster for r in one} == {1} and len(one) == 4
+
+
+def test_best_cut_and_author_ids(spark):
+    rows = [(1, 0, 2, 0, "K", 0.9), (3, 0, 4, 0, "K", 0.8), (1, 0, 3, 0, "K", 0.3), (1, 0, 4, 0, "K", 0.3), (2, 0, 3, 0, "K", 0.3), (2, 0, 4, 0, "K", 0.3)]
+    df = spark.createDataFrame(rows, "id1 long, d1 int, id2 long, d2 int, focus_name string, p double")
+    truth = spark.createDataFrame([(1, 0, "a"), (2, 0, "a"), (3, 0, "b"), (4, 0, "b"), (9, 9, "c")], "id long, d int, author_id string")
+    scores = cluster.scores_of_cuts(cluster.cut_sweep(df), truth)
+    by = {r.cut: (r.precision, r.recall, r.f1) for r in scores.collect()}
+    assert by[0.0] == (None, 0.0, 0.0) and by[0.15][0] == 1 and by[0.15][1] == 0.5 and by[0.2] == (1, 1, 1) and by[0.75][0] == 1 / 3 and len(by) == 21
+    assert cluster.best_cut(scores).first().cut == 0.2
+    store = spark.createDataFrame([(40,), (7,)], "author_id long")
+    ids = cluster.author_ids(cluster.clusters(df, 0.2), store).collect()
+    assert {r.author_id for r in ids} == {41, 42} and len({r.author_id for r in ids if r.id in (1, 2)}) == 1 and len(ids) == 4
+
+
+def test_class_distances_of_surnames(spark):
+    s = spark.createDataFrame([(1, 0, "A"), (2, 0, "B"), (3, 0, "B"), (4, 0, "C"), (5, 0, None)], "id long, d int, last_name string")
+    pairs = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 0), (2, 0, 4, 0), (1, 0, 5, 0)], "id1 long, d1 int, id2 long, d2 int")
+    v = spark.createDataFrame([("A", 0, 1), ("B", 1, 1), ("B", 1, 0), (None, 1, 1)], "last_name string, x int, y int")
+    assert [tuple(r) for r in distance.class_distances(pairs, s, v, ("x", "y")).collect()] == [("A", "B", 1 - 1 / 3)]
+
+
+def test_split_by_block_of_many_keys(spark):
+    keys = ["", "A", "AB", "ABC", "ABD", "B", "BA", "Z", "é"]
+    rows = [(k,) for i, k in enumerate(keys) for _ in range(i + 1)]
+    total, upto, expected = len(rows), 0, {}
+    for i, k in enumerate(keys):
+        upto += i + 1
+        expected[k] = upto / total
+    found = features.split_by_block(spark.createDataFrame(rows, "k string"), "k").collect()
+    assert {r.k: r.cume for r in found} == pytest.approx(expected)
+    assert {r.k: r.train for r in found} == {k: v < 0.7 for k, v in expected.items()}
+
+
 # Stores and ingest
 
 

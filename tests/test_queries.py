@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from namesake.plans import classify, queries, surname, topics, workflow
+from namesake.plans import classify, queries, surname, testdata, topics, workflow
 from namesake.streaming.batches import article_stream, resolve_stream
 
 TINY = "/root/testdata/sf0.001"
@@ -37,6 +37,42 @@ def test_other_queries_run(spark, name):
     assert queries.QUERIES[name](spark, TINY).count() > 0
 
 
+def test_clusters_of_a_table_are_the_naive_ones(spark):
+    scored = workflow.run_batch(testdata.corpus(spark, TINY)).toPandas()
+    near, items = {}, {}
+    for r in scored.itertuples():
+        a, b = (r.id1, r.d1), (r.id2, r.d2)
+        items.setdefault(r.focus_name, set()).update((a, b))
+        near.setdefault(frozenset((a, b)), []).append(1 - r.p)
+    expected = set()
+    for block in items.values():
+        groups = [[x] for x in sorted(block, key=lambda x: f"{x[0]}-{x[1]}")]
+        while len(groups) > 1:
+            height = lambda g, h: max(sum(v) / len(v) for a in g for b in h for v in [near.get(frozenset((a, b)), [1.0])])
+            x, i, j = min((height(g, h), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+            if x > 0.8:
+                break
+            groups[i] += groups.pop(j)
+        expected |= {frozenset(g) for g in groups}
+    found = queries.QUERIES["author_clusters"](spark, TINY).toPandas()
+    assert {frozenset(zip(g.id, g.d, strict=True)) for _, g in found.groupby(["focus_name", "cluster"])} == expected
+
+
+def test_a_trained_model_scores_a_run(spark, tmp_path):
+    c = testdata.corpus(spark, TINY)
+    rows = workflow.batch_features(c).withColumn("same_author", (F.col("eq_fn_initial") == 1).cast("int"))
+    classify.save(classify.fit(rows, "forest", trees=5), str(tmp_path / "m"))
+    model = classify.load(str(tmp_path / "m"))
+    corpus = queries.features.topic_corpus(c.articles, c.keywords)
+    topic_model = topics.fit(corpus, iterations=1)
+    some = testdata.topics(spark, TINY).filter("id % 2 = 0")
+    c.topics = some
+    known = workflow.run_trained(c, model).count()
+    whole = workflow.run_trained(c, model, topic_model=topic_model).toPandas()
+    assert known < len(whole) == workflow.batch_features(testdata.corpus(spark, TINY)).count()
+    assert whole.p.between(0, 1).all() and list(whole.columns) == ["id1", "d1", "id2", "d2", "focus_name", "p", "same"]
+
+
 def test_process_ids_are_numbers():
     assert workflow.valid_process_id("12") == 12
     for bad in ("1; drop", "", "-1", "x"):

@@ -152,7 +152,8 @@ def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
     every = thresholds(merged(fine.withColumn("all", F.lit(0)), ("all",)), ("all",)).drop("texts").toDF("all", *(f"all_{n}" for n in names))
     group = own.join(lang, "g_lang").withColumn("all", F.lit(0)).join(every, "all")
     use = lambda n: F.when(F.col("texts") >= min_group, F.col(n)).when(F.col("lang_texts") >= min_group, F.col(f"lang_{n}")).otherwise(F.col(f"all_{n}"))
-    group = group.select("g_lang", "g_source", *(use(n).alias(n) for n in names))
+    # Written, the table has a known size: small it is broadcast by the planner, else a hot group's rows can be split, as the join has no aggregate beside it.
+    group = written(group.select("g_lang", "g_source", *(use(n).alias(n) for n in names)), "thresholds")
     judged = features.join(group, ["g_lang", "g_source"], "left")
     beyond = [F.col(k) > F.col(f"t_{k}") for k in _FEATURES] + [F.col(k) < F.col(f"b_{k}") for k in BOTH_SIDES]
     out = F.lit(False)

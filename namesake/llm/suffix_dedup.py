@@ -23,6 +23,8 @@ NARROWER = (19, 3, 1)
 #: Bytes of runs that a task sorts at a time, whole groups.
 SLAB = 4 << 20
 _NO_ID = -(1 << 63)
+#: Bits of a place in a chunk, which holds at most twice ``CHUNK`` bytes and a few windows.
+_PLACE_BITS = 21
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -76,7 +78,8 @@ class _Chunk:
         windows = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         if not len(windows):
             return windows, windows, windows, windows
-        bits = _U(max(1, (n - 1).bit_length()))
+        # The same number of bits in every chunk, so that orders tie alike wherever a window stands.
+        bits = _U(max(_PLACE_BITS, (n - 1).bit_length()))
         key = _order(self.buf, self.gram)
         key = ((key >> bits) << bits) | np.arange(len(key), dtype=_U)
         anchor = (_least_in_windows(key, self.depth - self.gram + 1)[windows] & _U((1 << int(bits)) - 1)).astype(np.int64)
@@ -350,7 +353,10 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, togeth
     """
     if depth > 255 or not 0 < gram < depth:
         raise ValueError("depth is at most 255 bytes, and a gram shorter")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text", *carry)
+    doc_id = F.col("doc_id").cast("long")
+    # The lowest bit of text_hash tells a missing doc_id from the number that stands for it.
+    text_hash = F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.when(doc_id.isNull(), F.lit(1)).otherwise(0).cast("long"))
+    keyed = docs.select(F.coalesce(doc_id, F.lit(_NO_ID)).alias("doc"), text_hash.alias("text_hash"), "text", *carry)
 
     def passed(units: DataFrame, name: str) -> DataFrame:
         """``doc, text_hash, unit, gid, again, on``: runs that are repeats as they are, and those whose digit other runs have."""
@@ -358,7 +364,8 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, togeth
         ordered, whole = Window.partitionBy("to").orderBy("around", gid), Window.partitionBy("to")
         mine = F.struct("around", gid.alias("gid"))
         before, after = F.lag(mine).over(ordered), F.lead(mine).over(ordered)
-        several = F.col("several") | (F.min("around").over(whole) != F.max("around").over(whole))
+        # Of equals any may come first, also one whose own batch holds no other run of the digit: what one batch has seen holds for all.
+        several = F.max("several").over(whole) | (F.min("around").over(whole) != F.max("around").over(whole))
         again = F.col("known") | F.coalesce(before == mine, F.lit(False)) | F.coalesce(after == mine, F.lit(False))
         first = before.isNull() | (before != mine)
         return written(units.select("doc", "text_hash", "unit", gid.alias("gid"), again.alias("again"), (several & first).alias("on")).filter("again or on"), name)
@@ -389,7 +396,7 @@ def cut_repeats(docs: DataFrame, *, depth: int = DEPTH, gram: int = GRAM, togeth
     for again in settled:
         codes = codes.unionByName(again.select("doc", "text_hash", code.alias("code")))
     spans = codes.groupBy("doc", "text_hash").agg(F.collect_list("code").alias("spans"))
-    found = keyed.join(spans, ["doc", "text_hash"], "left").select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), *carry, "text", "spans")
+    found = keyed.join(spans, ["doc", "text_hash"], "left").select(F.when((F.col("doc") != _NO_ID) | (F.col("text_hash") % 2 == 0), F.col("doc")).alias("doc_id"), *carry, "text", "spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in ("text", "spans")]
     schema = ", ".join([*fields, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *["kept_text string"] * with_text])
     return found.mapInArrow(B.lean(_cut(with_text)), schema)

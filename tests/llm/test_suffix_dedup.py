@@ -99,3 +99,33 @@ def test_kept_text_is_whole_characters(spark):
     df = spark.createDataFrame([(1, p + "end", "en", "s", 1), (2, "x" + p, "fr", "t", 1), (3, "clean", None, None, 1)], SCHEMA)
     found = {r.doc_id: (r.kept_text, r.lang) for r in cut_repeats(df, with_text=True, carry=("lang",)).collect()}
     assert found == {1: ("end", "en"), 2: ("x", "fr"), 3: ("clean", None)}
+
+
+def test_least_doc_id_is_not_a_missing_one(spark):
+    p = words(60, 5)[:260]
+    least = -(1 << 63)
+    ids, texts = [least, None, None, 0, least], [p, p, words(50, 7), None, "x" + p]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    found = [tuple(r) for r in cut_repeats(df).collect()]
+    assert sorted(found, key=repr) == sorted(((i, *b) for i, b in zip(ids, brute(texts), strict=True)), key=repr)
+
+
+def test_orders_tie_alike_in_chunks_of_any_length(monkeypatch):
+    """Where grams differ in the last bits of their order only, the anchor does not depend on what else the chunk holds."""
+    text = words(60, 5)[:260].encode()
+    monkeypatch.setattr(S, "_order", lambda buf, gram: np.uint64(1 << 63) + (np.arange(len(buf) - gram + 1, dtype=np.uint64)[::-1] % np.uint64(64)))
+    alone = {(w[0], w[1]) for w in covered(S._Chunk([text], 200, 48))}
+    beside = {(w[0], w[1]) for w in covered(S._Chunk([text, b"y" * 64 * 4096], 200, 48)) if w[0] <= len(text) - 200}
+    assert alone == beside
+
+
+def test_a_copy_in_another_batch_does_not_stop_a_run(spark):
+    """Copies that meet no other run of their digits may stand for one that does; the partial repeat is found all the same."""
+    whole = [words(60, 400 + k)[:230] for k in range(8)]
+    copies = [(10 * n + k, p) for n in range(1, 5) for k, p in enumerate(whole)]
+    here = [x for k, p in enumerate(whole) for x in ((k, p), (100 + k, "B" + p[10:220] + "C"))]
+    parts = [copies[:8], copies[8:16], here, copies[16:24], copies[24:]]
+    rows_ = [r for part in parts for r in part]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(lambda part: [(i, t, None, None, None) for i, t in part]), SCHEMA)
+    found = {r.doc_id: tuple(r)[1:] for r in cut_repeats(df).collect()}
+    assert found == dict(zip([i for i, _ in rows_], brute([t for _, t in rows_]), strict=True))
